@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 
 def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+    """Column as is, a str as a column name, anything else as a literal."""
+    if isinstance(x, Column):
+        return x
+    return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
 def idiv(a, b) -> Column:
