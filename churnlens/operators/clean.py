@@ -25,15 +25,18 @@ from churnlens.functions import fixed
 from churnlens.operators.quantile import count_where, top_bucket_cutoff
 
 
-def removal(predicate: Column) -> Column:
-    """TRUE exactly where a DELETE with ``predicate`` removes the row."""
-    return F.coalesce(predicate, F.lit(False))
+def kept_by(predicate: Column) -> Column:
+    """TRUE exactly where a DELETE with ``predicate`` keeps the row (FALSE or NULL).
+
+    Written as ``NOT p OR p IS NULL`` (never NULL itself) rather than
+    ``NOT coalesce(p, false)`` so that Catalyst can push it into the scan.
+    """
+    return ~predicate | predicate.isNull()
 
 
 def delete_where(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed) for ``DELETE ... WHERE predicate``."""
-    hit = removal(predicate)
-    return df.filter(~hit), df.filter(hit)
+    """(kept, removed) for ``DELETE ... WHERE predicate``; a filter drops NULL, as DELETE does."""
+    return df.filter(kept_by(predicate)), df.filter(predicate)
 
 
 def top_percentile_predicate(df: DataFrame, column: str, k: int = fixed.PERCENTILE_BUCKETS,
@@ -87,13 +90,13 @@ def step_predicate(df: DataFrame, step: Step, n: int | None = None, **tuning) ->
 class Cleaning:
     source: DataFrame
     steps: tuple
-    removals: list = field(default_factory=list)   # Column per step, TRUE = removed there
+    removals: list = field(default_factory=list)   # predicate per step (TRUE = removed there)
 
     def kept_after(self, i: int) -> Column:
         """TRUE for rows still present after the first ``i`` steps."""
         cond = F.lit(True)
         for r in self.removals[:i]:
-            cond = cond & ~r
+            cond = cond & kept_by(r)
         return cond
 
     @property
@@ -133,5 +136,5 @@ def clean(df: DataFrame, steps=CLEANING_STEPS, **tuning) -> Cleaning:
     for step in steps:
         current = df.filter(cl.kept_after(len(cl.removals)))
         n = count_where(current, [None])[0] if step.kind == "top_percentile" else None
-        cl.removals.append(removal(step_predicate(current, step, n=n, **tuning)))
+        cl.removals.append(step_predicate(current, step, n=n, **tuning))
     return cl
