@@ -83,23 +83,49 @@ def desc(column: str, nulls_first: bool | None = None) -> SortKey:
 
 @dataclass(frozen=True)
 class _Dim:
-    expr: Column
+    sql: str                # SQL expression text, never NULL
     ascending: bool
     dtype: T.DataType
     role: str  # "null", "nan" or "value"
     null_as: object = None  # sentinel that stands for NULL in a "value" dim
 
+    @property
+    def expr(self) -> Column:
+        return F.expr(self.sql)
+
+
+# The comparison trees below are built as SQL text and parsed once with
+# F.expr: the same Catalyst expression as chained Column calls, without one
+# Py4J round trip per node (thousands for a 100-bucket tree).
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
 
-def _zero(dtype: T.DataType):
+def _sql_lit(v, dtype: T.DataType) -> str:
+    """Typed SQL literal for a Python value of a normalized dim."""
+    t = dtype.simpleString()
     if isinstance(dtype, T.StringType):
-        return F.lit("")
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
     if isinstance(dtype, T.BooleanType):
-        return F.lit(False)
+        return "TRUE" if v else "FALSE"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return f"CAST('{float(v)!r}' AS {t})"
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return f"CAST({int(v)} AS {t})"
+    return f"CAST('{v}' AS {t})"
+
+
+def _zero(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.StringType):
+        return "''"
+    if isinstance(dtype, T.BooleanType):
+        return "FALSE"
     if isinstance(dtype, T.DateType):
-        return F.lit("1970-01-01").cast("date")
+        return "DATE '1970-01-01'"
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.lit("1970-01-01 00:00:00").cast(dtype)
-    return F.lit(0).cast(dtype)
+        return f"CAST('1970-01-01 00:00:00' AS {dtype.simpleString()})"
+    return f"CAST(0 AS {dtype.simpleString()})"
 
 
 def _dims(df: DataFrame, keys: list[SortKey]) -> list[_Dim]:
@@ -107,26 +133,26 @@ def _dims(df: DataFrame, keys: list[SortKey]) -> list[_Dim]:
     dims: list[_Dim] = []
     for k in keys:
         f = fields[k.column]
-        c = F.col(k.column)
+        c = _ident(k.column)
         wide = _widened(f.dataType)
         if f.nullable and wide is not None:
             # fold NULL into one out-of-range value of a wider type: one dim, not two
             wtype, big = wide
             null_largest = k.ascending != k.nulls_go_first
             sentinel = big if null_largest else -big
-            dims.append(_Dim(F.coalesce(c.cast(wtype), _lit(sentinel, wtype)), k.ascending, wtype,
-                             "value", sentinel))
+            dims.append(_Dim(f"coalesce(CAST({c} AS {wtype.simpleString()}), {_sql_lit(sentinel, wtype)})",
+                             k.ascending, wtype, "value", sentinel))
             continue
         if f.nullable:
             # flag 1 marks NULL; NULLs first means flag descending
-            dims.append(_Dim(c.isNull().cast("int"), not k.nulls_go_first, T.IntegerType(), "null"))
+            dims.append(_Dim(f"CAST({c} IS NULL AS INT)", not k.nulls_go_first, T.IntegerType(), "null"))
         value = c
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             # Spark orders NaN above every number
-            dims.append(_Dim(F.coalesce(F.isnan(c), F.lit(False)).cast("int"), k.ascending,
+            dims.append(_Dim(f"CAST(coalesce(isnan({c}), FALSE) AS INT)", k.ascending,
                              T.IntegerType(), "nan"))
-            value = F.when(F.isnan(c), F.lit(0.0)).otherwise(c)
-        dims.append(_Dim(F.coalesce(value, _zero(f.dataType)), k.ascending, f.dataType, "value"))
+            value = f"CASE WHEN isnan({c}) THEN {_zero(f.dataType)} ELSE {c} END"
+        dims.append(_Dim(f"coalesce({value}, {_zero(f.dataType)})", k.ascending, f.dataType, "value"))
     return dims
 
 
@@ -143,41 +169,31 @@ def _widened(dtype: T.DataType):
     return None
 
 
-def _lit(v, dtype: T.DataType) -> Column:
-    return F.lit(v).cast(dtype)
-
-
-def _less(dims: list[_Dim], values: tuple) -> Column:
-    """Row sorts strictly before the tuple ``values`` (lexicographic)."""
+def _less(dims: list[_Dim], values: tuple) -> str:
+    """SQL: the row sorts strictly before the tuple ``values`` (lexicographic)."""
     expr = None
     for d, v in zip(reversed(dims), reversed(values)):
-        lv = _lit(v, d.dtype)
-        lt = (d.expr < lv) if d.ascending else (d.expr > lv)
-        expr = lt if expr is None else (lt | ((d.expr == lv) & expr))
-    return expr if expr is not None else F.lit(False)
-
-
-def _in_range(dims, lo, hi) -> Column:
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & ~_less(dims, lo)
-    if hi is not None:
-        cond = cond & _less(dims, hi)
-    return cond
+        lv = _sql_lit(v, d.dtype)
+        lt = f"({d.sql} {'<' if d.ascending else '>'} {lv})"
+        expr = lt if expr is None else f"({lt} OR ({d.sql} = {lv} AND {expr}))"
+    return expr if expr is not None else "FALSE"
 
 
-def _position(dims: list[_Dim], splits: list[tuple]) -> Column:
-    """Number of ``splits`` (sorted ascending) that are <= the row: a binary search."""
-
-    def build(lo: int, hi: int) -> Column:
+def _position_sql(dims: list[_Dim], splits: list[tuple]) -> str:
+    def build(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(_less(dims, splits[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+        return f"CASE WHEN {_less(dims, splits[mid])} THEN {build(lo, mid)} ELSE {build(mid + 1, hi)} END"
 
     return build(0, len(splits))
 
 
+def _position(dims: list[_Dim], splits: list[tuple]) -> Column:
+    """Number of ``splits`` (sorted ascending) that are <= the row: a binary search."""
+    return F.expr(f"CAST({_position_sql(dims, splits)} AS INT)")
+
+
 def _tuple_key(dims: list[_Dim]):
     def cmp(a, b):
         for d, x, y in zip(dims, a, b):
