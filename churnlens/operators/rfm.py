@@ -27,6 +27,15 @@ from churnlens.functions.labels import (age_group, churned_flag, combined_fm, se
                                         utilization_category)
 from churnlens.operators.quantile import NtileSpec, asc, desc, with_ntiles, with_ntiles_by
 
+
+def _sorted_small(df: DataFrame, *order: Column) -> DataFrame:
+    """Order a report whose size is bounded by the label set (<= 11 segments, <= 25 cells).
+
+    One task sorts it; a global orderBy would add a sampling job for a range shuffle.
+    """
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 RECENCY, FREQUENCY, MONETARY, TIE = "months_inactive", "total_trans_ct", "total_trans_amt", "clietnum"
 
 
@@ -103,7 +112,7 @@ def segment_churn(segs: DataFrame) -> DataFrame:
             .withColumn("churn_rate", F.coalesce(percent(F.col("_k"), F.col("total_segment")),
                                                  F.lit(0.0)))
             .drop("_k")
-            .orderBy(F.col("churn_rate").desc()))
+            .transform(lambda d: _sorted_small(d, F.col("churn_rate").desc())))
 
 
 def rfm_averages(segs: DataFrame) -> DataFrame:
@@ -116,8 +125,9 @@ def rfm_averages(segs: DataFrame) -> DataFrame:
             .agg(exact_avg(F.col("recency"), 0).alias("average_recency"),
                  avg_of_scaled(F.col("frequency_h")).alias("average_frequency"),
                  avg_of_scaled(F.col("monetary_h")).alias("average_monetary"))
-            .orderBy(F.col("average_recency").desc(), F.col("average_frequency").asc(),
-                     F.col("average_monetary").asc()))
+            .transform(lambda d: _sorted_small(d, F.col("average_recency").desc(),
+                                               F.col("average_frequency").asc(),
+                                               F.col("average_monetary").asc())))
 
 
 def _at_risk_churned(segs: DataFrame) -> DataFrame:
@@ -196,4 +206,4 @@ def rfm_matrix(scored: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("_n"),
                  F.count(F.when(F.col("attrition_flag") == F.lit(fixed.ATTRITED), F.lit(1))).alias("_k"))
             .select("r", "fm", percent(F.col("_k"), F.col("_n")).alias("churned_percent"))
-            .orderBy(F.col("churned_percent").desc()))
+            .transform(lambda d: _sorted_small(d, F.col("churned_percent").desc())))
