@@ -583,6 +583,18 @@ def with_ntiles_by(df: DataFrame, by: str, specs: list[NtileSpec], max_groups: i
     return out
 
 
+def global_ntile(df: DataFrame, name: str, order: list[SortKey], k: int, by: str | None = None,
+                 **tuning) -> DataFrame:
+    """``NTILE(k) OVER ([PARTITION BY by] ORDER BY order)`` as column ``name``.
+
+    ``order`` should end with a unique key so that bucket sizes are exact.
+    """
+    spec = [NtileSpec(name, list(order), k)]
+    if by is None:
+        return with_ntiles(df, spec, **tuning)
+    return with_ntiles_by(df, by, spec, **tuning)
+
+
 def top_bucket_cutoff(df: DataFrame, column: str, k: int = 100, n: int | None = None, **tuning):
     """Smallest value in the last bucket of ``NTILE(k) OVER (ORDER BY column)``.
 

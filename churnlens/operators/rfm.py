@@ -46,17 +46,19 @@ def score_specs(k: int = fixed.RFM_BUCKETS, recency: str = RECENCY, frequency: s
             NtileSpec("m", [asc(monetary), asc(tie)], k)]
 
 
-def rfm_scores(df: DataFrame, k: int = fixed.RFM_BUCKETS, where: Column | None = None,
-               **tuning) -> DataFrame:
-    """Table plus r, f, m quintile scores (rows outside ``where`` are dropped)."""
+def rfm_scores(df: DataFrame, k: int = fixed.RFM_BUCKETS, where: Column | None = None, *,
+               recency: str = RECENCY, frequency: str = FREQUENCY, monetary: str = MONETARY,
+               tie: str = TIE, **tuning) -> DataFrame:
+    """Table plus r, f, m scores (rows outside ``where`` are dropped first, as a WHERE)."""
     src = df if where is None else df.filter(where)
-    return with_ntiles(src, score_specs(k), **tuning)
+    return with_ntiles(src, score_specs(k, recency, frequency, monetary, tie), **tuning)
 
 
-def rfm_scores_by(df: DataFrame, by: str = "gender", k: int = fixed.RFM_BUCKETS,
-                  **tuning) -> DataFrame:
+def rfm_scores_by(df: DataFrame, by: str = "gender", k: int = fixed.RFM_BUCKETS, *,
+                  recency: str = RECENCY, frequency: str = FREQUENCY, monetary: str = MONETARY,
+                  tie: str = TIE, **tuning) -> DataFrame:
     """r, f, m scored within each value of ``by`` (a low-cardinality column)."""
-    return with_ntiles_by(df, by, score_specs(k), **tuning)
+    return with_ntiles_by(df, by, score_specs(k, recency, frequency, monetary, tie), **tuning)
 
 
 def score_columns(scored: DataFrame) -> DataFrame:

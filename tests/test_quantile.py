@@ -115,3 +115,12 @@ def test_no_single_partition_exchange(spark):
     out = Q.with_ntiles(df, [Q.NtileSpec("a", [Q.asc("v"), Q.asc("id")], 5)])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Window" not in plan
+
+
+def test_global_ntile_convenience(spark):
+    df = table(spark, 23, seed=5)
+    keys = [Q.desc("v"), Q.asc("id")]
+    got = Q.global_ntile(df, "t", keys, 4)
+    ref = reference(df, "t_r", keys, 4)
+    j = got.join(ref.select("id", "t_r"), "id")
+    assert j.filter(F.col("t") != F.col("t_r")).count() == 0
