@@ -40,13 +40,14 @@ straddle a boundary all land in the later bucket.
 from __future__ import annotations
 
 import functools
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_FANOUT = 256
+DEFAULT_FANOUT = 64
 DEFAULT_BASE_ROWS = 2_000_000
 DEFAULT_OVERSAMPLE = 16
 DEFAULT_SEED = 20240917
@@ -186,7 +187,18 @@ def _position_sql(dims: list[_Dim], splits: list[tuple]) -> str:
         mid = (lo + hi) // 2
         return f"CASE WHEN {_less(dims, splits[mid])} THEN {build(lo, mid)} ELSE {build(mid + 1, hi)} END"
 
-    return build(0, len(splits))
+    p = len(splits)
+    if p <= 15:
+        return build(0, p)
+    # Flat CASE over ~sqrt(p) coarse points with a small search tree per branch:
+    # CaseWhen code generation splits its branches into separate methods, so a
+    # 99-boundary assignment on wide keys stays under the JVM method size limit.
+    step = math.isqrt(p - 1) + 1
+    parts, start = [], 0
+    for ci in range(step - 1, p, step):
+        parts.append(f"WHEN {_less(dims, splits[ci])} THEN {build(start, ci)}")
+        start = ci + 1
+    return f"CASE {' '.join(parts)} ELSE {build(start, p)} END"
 
 
 def _position(dims: list[_Dim], splits: list[tuple]) -> Column:
@@ -298,6 +310,18 @@ def count_where(df: DataFrame, conds: list[Column | None]) -> list[int]:
 
 
 MAX_ROUNDS = 12
+# Most literal points one binary-search expression may hold. Open ranges of a
+# spec beyond that are split over several union branches, so every generated
+# comparison tree stays small enough for whole-stage codegen.
+MAX_POINTS = 128
+
+
+def _groups(by_spec: dict, points_per_range) -> list[tuple[int, list]]:
+    out = []
+    for i, rs in by_spec.items():
+        size = max(1, MAX_POINTS // points_per_range(len(rs)))
+        out += [(i, rs[k:k + size]) for k in range(0, len(rs), size)]
+    return out
 
 
 def select_ranks(df: DataFrame, specs: list[RankSpec], counts: list[int] | None = None, *,
@@ -343,10 +367,11 @@ def _select_ranks(df, specs, counts, fanout, base_rows, oversample, seed):
             for i, rs in big.items():
                 to_window.setdefault(i, []).extend(rs)
             break
-        splits = _sample_splits(df, big, dims, wheres, fanout, oversample, seed + round_no)
-        active = _refine(df, big, splits, dims, wheres, specs, result)
+        groups = _groups(big, lambda n_ranges: max(4, fanout // n_ranges) + 2)
+        splits = _sample_splits(df, groups, dims, wheres, fanout, oversample, seed + round_no)
+        active = _refine(df, groups, splits, dims, wheres, specs, result)
     if to_window:
-        _resolve_by_window(df, to_window, dims, wheres, specs, result)
+        _resolve_by_window(df, _groups(to_window, lambda _: 2), dims, wheres, specs, result)
     return [list(per) for per in result]
 
 
@@ -372,33 +397,34 @@ def _range_position(rg: _Range, index: dict) -> int:
 def _sample_splits(df, big, dims, wheres, fanout, oversample, seed):
     """Bounded Bernoulli sample of every open range -> split tuples per range."""
     branches, layouts = [], {}
-    for i, rs in big.items():
+    for b, (i, rs) in enumerate(big):
         d = dims[i]
         pts, index = _layout([b for r in rs for b in (r.lo, r.hi) if b is not None], d)
         per_range = max(4, fanout // len(rs))
         fracs = {_range_position(r, index): min(1.0, oversample * per_range / max(r.count, 1))
                  for r in rs}
-        layouts[i] = (index, per_range)
+        layouts[b] = (index, per_range)
         lookup = F.create_map(*[x for p, f in fracs.items() for x in (F.lit(p), F.lit(f))])
         cap = 4 * oversample * per_range * len(rs)
-        b = (df.filter(wheres[i])
-             .select(F.lit(i).alias("__spec"), _position(d, pts).alias("__pos"), *_dim_cols(i, d))
+        branch = (df.filter(wheres[i])
+             .select(F.lit(b).alias("__grp"), _position(d, pts).alias("__pos"), *_dim_cols(i, d))
              .filter(F.col("__pos").isin(list(fracs)))
              .filter(F.rand(seed + i) < lookup[F.col("__pos")])
              .limit(cap))
-        branches.append(b)
+        branches.append(branch)
     samples: dict[tuple, list[tuple]] = {}
     for row in _union(branches).collect():
-        i = row["__spec"]
-        samples.setdefault((i, row["__pos"]), []).append(
+        b = row["__grp"]
+        i = big[b][0]
+        samples.setdefault((b, row["__pos"]), []).append(
             tuple(row[_col(i, j)] for j in range(len(dims[i]))))
     out = {}
-    for i, rs in big.items():
+    for b, (i, rs) in enumerate(big):
         d = dims[i]
         key = _tuple_key(d)
-        index, per_range = layouts[i]
+        index, per_range = layouts[b]
         for r in rs:
-            pts = sorted(samples.get((i, _range_position(r, index)), []), key=key)
+            pts = sorted(samples.get((b, _range_position(r, index)), []), key=key)
             chosen: list[tuple] = []
             m = len(pts)
             for q in range(1, per_range if m else 0):
@@ -415,33 +441,34 @@ def _sample_splits(df, big, dims, wheres, fanout, oversample, seed):
 def _refine(df, big, splits, dims, wheres, specs, result):
     """Count rows per sub-range of every open range (one pass per spec); narrow each rank."""
     branches, layouts = [], {}
-    for i, rs in big.items():
+    for b, (i, rs) in enumerate(big):
         d = dims[i]
         pts = [b for r in rs for b in (r.lo, r.hi) if b is not None]
         pts += [s for r in rs for s in splits[id(r)]]
         pts, index = _layout(pts, d)
-        layouts[i] = index
+        layouts[b] = index
         wanted = sorted({_range_position(r, index) + j for r in rs
                          for j in range(len(splits[id(r)]) + 1)})
         names = [_col(i, j) for j in range(len(d))]
-        b = (df.filter(wheres[i])
-             .select(F.lit(i).alias("__spec"), _position(d, pts).alias("__q"), *_dim_cols(i, d))
+        branch = (df.filter(wheres[i])
+             .select(F.lit(b).alias("__grp"), _position(d, pts).alias("__q"), *_dim_cols(i, d))
              .filter(F.col("__q").isin(wanted))
-             .groupBy("__spec", "__q")
+             .groupBy("__grp", "__q")
              .agg(F.count(F.lit(1)).alias("__n"),
                   *[F.min(nm).alias(f"__min{nm}") for nm in names],
                   *[F.max(nm).alias(f"__max{nm}") for nm in names]))
-        branches.append(b)
+        branches.append(branch)
     stats: dict[tuple, tuple] = {}
     for row in _union(branches).collect():
-        i = row["__spec"]
+        b = row["__grp"]
+        i = big[b][0]
         names = [_col(i, j) for j in range(len(dims[i]))]
-        stats[(i, row["__q"])] = (int(row["__n"]), tuple(row[f"__min{nm}"] for nm in names),
+        stats[(b, row["__q"])] = (int(row["__n"]), tuple(row[f"__min{nm}"] for nm in names),
                                   tuple(row[f"__max{nm}"] for nm in names))
 
     nxt: dict[int, dict[tuple, _Range]] = {}
-    for i, rs in big.items():
-        index = layouts[i]
+    for b, (i, rs) in enumerate(big):
+        index = layouts[b]
         for r in rs:
             sp = splits[id(r)]
             base = _range_position(r, index)
@@ -450,7 +477,7 @@ def _refine(df, big, splits, dims, wheres, specs, result):
                 local = specs[i].ranks[t] - r.offset
                 before = 0
                 for j in range(len(sp) + 1):
-                    n_sub, mins, maxs = stats.get((i, base + j), (0, None, None))
+                    n_sub, mins, maxs = stats.get((b, base + j), (0, None, None))
                     if local < before + n_sub:
                         if mins == maxs:  # one distinct tuple fills the sub-range
                             result[i][t] = Boundary(mins, _raw(specs[i].keys, dims[i], mins))
@@ -470,30 +497,31 @@ def _refine(df, big, splits, dims, wheres, specs, result):
 def _resolve_by_window(df, to_window, dims, wheres, specs, result):
     """Rank the rows of each small range exactly: one window branch per spec."""
     branches, layouts = [], {}
-    for i, rs in to_window.items():
+    for b, (i, rs) in enumerate(to_window):
         d = dims[i]
         pts, index = _layout([b for r in rs for b in (r.lo, r.hi) if b is not None], d)
-        layouts[i] = index
+        layouts[b] = index
         positions = sorted({_range_position(r, index) for r in rs})
         wanted = sorted({specs[i].ranks[t] - r.offset + 1 for r in rs for t in r.targets})
         names = [_col(i, j) for j in range(len(d))]
         order = [F.col(nm).asc() if x.ascending else F.col(nm).desc() for nm, x in zip(names, d)]
         w = Window.partitionBy("__pos").orderBy(*order)
-        b = (df.filter(wheres[i])
-             .select(F.lit(i).alias("__spec"), _position(d, pts).alias("__pos"), *_dim_cols(i, d))
+        branch = (df.filter(wheres[i])
+             .select(F.lit(b).alias("__grp"), _position(d, pts).alias("__pos"), *_dim_cols(i, d))
              .filter(F.col("__pos").isin(positions))
              .withColumn("__rn", F.row_number().over(w))
              .filter(F.col("__rn").isin(wanted)))
-        branches.append(b)
+        branches.append(branch)
     found: dict[tuple, tuple] = {}
     for row in _union(branches).collect():
-        i = row["__spec"]
-        found[(i, row["__pos"], row["__rn"])] = tuple(row[_col(i, j)] for j in range(len(dims[i])))
-    for i, rs in to_window.items():
+        b = row["__grp"]
+        i = to_window[b][0]
+        found[(b, row["__pos"], row["__rn"])] = tuple(row[_col(i, j)] for j in range(len(dims[i])))
+    for b, (i, rs) in enumerate(to_window):
         for r in rs:
-            p = _range_position(r, layouts[i])
+            p = _range_position(r, layouts[b])
             for t in r.targets:
-                norm = found[(i, p, specs[i].ranks[t] - r.offset + 1)]
+                norm = found[(b, p, specs[i].ranks[t] - r.offset + 1)]
                 result[i][t] = Boundary(norm, _raw(specs[i].keys, dims[i], norm))
 
 
