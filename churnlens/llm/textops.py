@@ -20,7 +20,7 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[list(SPACES)] = True
 
 #: Bytes handled at once; arrays of this length stay near the CPU caches.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
@@ -150,3 +150,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+class Index(dict):
+    """Numbers keys in the order in which they are first looked up."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
