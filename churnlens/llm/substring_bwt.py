@@ -91,7 +91,7 @@ def _runs(buf: np.ndarray, offsets: np.ndarray, length: int):
         s = start[head]
         first.append(s + base)
         count.append(n)
-        anchor.append(grams[at[head]])
+        anchor.append(T.mix(grams[at[head]]))  # smallest hashes crowd near 0; mixed again they spread over all ranges
         piece.append(T.span_hashes(b, s, s + n + length - 1))
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     return join(first, np.int64), join(count, np.int64), join(anchor, np.uint64), join(piece, np.uint64)
