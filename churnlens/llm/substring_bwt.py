@@ -118,7 +118,11 @@ COPIED, WANTED, HOT = 1, 2, 4
 
 
 def _verdicts(table: pa.Table) -> pa.Table:
-    """Reducer of one range of anchors: a verdict per piece of each chunk."""
+    """Reducer of one range of anchors: a verdict per piece of each chunk.
+
+    Rows come in any order, and a lost executor makes this run again: the chunk that sends a piece's text
+    is the smallest that has it."""
+    table = table.sort_by("chunk")
     keys = [C.unpack(w, k) for w, k in zip(table["width"].to_pylist(), table["keys"].to_pylist())]
     extra = table["extra"].to_pylist()
     anchor = np.concatenate(keys)
