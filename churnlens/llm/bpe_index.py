@@ -31,8 +31,8 @@ from churnlens.llm import textops as T
 #: The pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens kept per task before the table starts anew.
-KEPT_TYPES = 1 << 20
-BLOCK_BYTES = 4 << 20
+KEPT_TYPES = 400_000
+BLOCK_BYTES = 1 << 20
 _SHIFT = 20
 
 RESULT = "doc_id long, n_tokens long, ids binary, decoded string"
