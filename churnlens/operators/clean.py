@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions import fixed
-from churnlens.operators.quantile import count_where, top_bucket_cutoff
+from churnlens.operators.quantile import top_bucket_cutoff
 
 
 def kept_by(predicate: Column) -> Column:
@@ -40,9 +40,9 @@ def delete_where(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame
 
 
 def top_percentile_predicate(df: DataFrame, column: str, k: int = fixed.PERCENTILE_BUCKETS,
-                             n: int | None = None, **tuning) -> Column:
+                             **tuning) -> Column:
     """Predicate of ``column IN (values in the last NTILE(k) bucket)``."""
-    cutoff = top_bucket_cutoff(df, column, k, n=n, **tuning)
+    cutoff = top_bucket_cutoff(df, column, k, **tuning)
     if cutoff is None:
         return F.lit(False)
     return F.col(column) >= F.lit(cutoff).cast(df.schema[column].dataType)
@@ -75,14 +75,14 @@ CLEANING_STEPS = (
 )
 
 
-def step_predicate(df: DataFrame, step: Step, n: int | None = None, **tuning) -> Column:
+def step_predicate(df: DataFrame, step: Step, **tuning) -> Column:
     c = F.col(step.column)
     if step.kind == "equals":
         return c == F.lit(step.value)
     if step.kind == "greater":
         return c > F.lit(step.value)
     if step.kind == "top_percentile":
-        return top_percentile_predicate(df, step.column, n=n, **tuning)
+        return top_percentile_predicate(df, step.column, **tuning)
     raise ValueError(step.kind)
 
 
@@ -135,6 +135,5 @@ def clean(df: DataFrame, steps=CLEANING_STEPS, **tuning) -> Cleaning:
     cl = Cleaning(df, tuple(steps))
     for step in steps:
         current = df.filter(cl.kept_after(len(cl.removals)))
-        n = count_where(current, [None])[0] if step.kind == "top_percentile" else None
-        cl.removals.append(step_predicate(current, step, n=n, **tuning))
+        cl.removals.append(step_predicate(current, step, **tuning))
     return cl

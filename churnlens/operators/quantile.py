@@ -1,56 +1,48 @@
-"""Global NTILE, top-percentile cutoffs and exact medians without one partition.
+"""Global NTILE, top-percentile cutoffs and exact medians by counting selection.
 
 ``NTILE(k) OVER (ORDER BY ...)`` with no PARTITION BY makes Spark move the
-whole table into a single task (``Exchange SinglePartition``). The bucket of
-a row, however, only depends on the k-1 rows where buckets start. So we
-
-1. find those boundary rows *exactly* with a distributed selection
-   (:func:`select_ranks`), and
-2. assign every row its bucket with a handful of literal comparisons
-   against the boundaries: a map-only expression, no shuffle at all.
-
-Selection (per wanted rank):
-
-* ``n`` comes from one global count (partial aggregation);
-* while the range that holds the rank has more than ``base_rows`` rows:
-  draw a bounded Bernoulli sample of that range (about ``oversample *
-  fanout`` rows reach the driver), cut it into ``fanout`` sub-ranges with
-  literal split tuples, and count rows per sub-range in one aggregate whose
-  grouping key is a binary search over the splits (log2(fanout)
-  comparisons per row). The rank falls into one sub-range; continue there.
-  A sub-range whose rows all carry one tuple resolves on the spot, so a
-  value held by a third of the table costs nothing extra;
-* a range with at most ``base_rows`` rows is ranked exactly with
-  ``row_number`` over a window partitioned by range id: only those rows are
-  shuffled, into one task per wanted range.
-
-Splits are literals inside the plan, so a retried task computes the same
-sub-range for each row; nothing depends on ``spark_partition_id``.
-Every wanted rank of every spec is handled in the same jobs (union of
-per-spec branches), so scoring r, f and m costs the same number of jobs
-as scoring one of them.
+whole table into a single task. The bucket of a row only depends on the k-1
+rows where buckets start, so those are found exactly, and every row gets its
+bucket from literal comparisons: a map-only expression.
+
+Selection. Sort keys become dimensions: 64-bit integers that order as the key
+does (a NULL flag, then the value; text in pieces of six bytes). One aggregate
+gives the row count and the smallest and largest value of every dimension.
+Then, round by round, each open range of each wanted rank is cut into bins of
+equal width on its first dimension that varies; ONE aggregate over the table
+counts the rows of all bins of all specs, with the bins' own smallest and
+largest values. The rank falls into one bin, which is the next range; a bin in
+which no dimension varies is an answer. A round narrows a range at least
+``bins``-fold, so the number of scans follows the width of the keys (about
+log(range)/log(bins) a key), not the number of rows, ranks or specs, and a
+value that fills a third of the table resolves like any other. Only counters
+reach the driver: open ranges x bins. There is no sample, no sort, no window
+and no size switch.
 
 Ordering follows SQL: each :class:`SortKey` has a direction and a NULL
-placement (PostgreSQL defaults: ASC NULLS LAST, DESC NULLS FIRST). Ties
-must be broken by a unique key (e.g. the customer id) for NTILE bucket
-sizes to be exact; with duplicate full sort tuples, the duplicates that
-straddle a boundary all land in the later bucket.
+placement (PostgreSQL defaults: ASC NULLS LAST, DESC NULLS FIRST). Rows whose
+sort keys tie across a bucket boundary are told apart by a hash of all their
+columns, and rows that are equal in every column are counted out, so bucket
+sizes never differ by more than one.
 """
 
 from __future__ import annotations
 
-import functools
+import datetime
 import math
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_FANOUT = 64
-DEFAULT_BASE_ROWS = 2_000_000
-DEFAULT_OVERSAMPLE = 16
-DEFAULT_SEED = 20240917
+#: Bins of one range at least, and of all open ranges of a spec together.
+RANGE_BINS = 256
+ROUND_BINS = 8192
+#: Copies of equal rows written by one task when a run of them is split.
+RUN_COPIES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -78,105 +70,94 @@ def desc(column: str, nulls_first: bool | None = None) -> SortKey:
     return SortKey(column, False, nulls_first)
 
 
-# --------------------------------------------------------------------------
-# Normalized sort dimensions: never NULL, one direction each.
-# --------------------------------------------------------------------------
-
 @dataclass(frozen=True)
 class _Dim:
-    sql: str                # SQL expression text, never NULL
+    """An integer column expression (SQL text, never NULL) that orders as a part of a sort key."""
+    sql: str
     ascending: bool
-    dtype: T.DataType
-    role: str  # "null", "nan" or "value"
-    null_as: object = None  # sentinel that stands for NULL in a "value" dim
-
-    @property
-    def expr(self) -> Column:
-        return F.expr(self.sql)
 
 
-# The comparison trees below are built as SQL text and parsed once with
-# F.expr: the same Catalyst expression as chained Column calls, without one
-# Py4J round trip per node (thousands for a 100-bucket tree).
-
 def _ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _sql_lit(v, dtype: T.DataType) -> str:
-    """Typed SQL literal for a Python value of a normalized dim."""
-    t = dtype.simpleString()
-    if isinstance(dtype, T.StringType):
-        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    if isinstance(dtype, T.BooleanType):
-        return "TRUE" if v else "FALSE"
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return f"CAST('{float(v)!r}' AS {t})"
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return f"CAST({int(v)} AS {t})"
-    return f"CAST('{v}' AS {t})"
-
-
-def _zero(dtype: T.DataType) -> str:
-    if isinstance(dtype, T.StringType):
-        return "''"
-    if isinstance(dtype, T.BooleanType):
-        return "FALSE"
+def _is_text(dtype: T.DataType) -> bool:
+    return not isinstance(dtype, (T.IntegralType, T.BooleanType, T.DecimalType, T.DateType, T.TimestampType, T.FractionalType))
+
+
+def _value_sql(c: str, dtype: T.DataType, text_bytes: int) -> list[str]:
+    """The value as 64-bit integers in lexicographic order (NULL if the value is)."""
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return [f"CAST({c} AS BIGINT)"]
+    if isinstance(dtype, T.DecimalType):
+        digits = f"CAST(replace(CAST({c} AS STRING), '.', '') AS DECIMAL(38,0))" if dtype.precision > 18 else None
+        if digits is None:
+            return [f"CAST({c} * {10 ** dtype.scale} AS BIGINT)"]
+        limb = "CAST('1{}' AS DECIMAL(38,0))"
+        high, low = limb.format("0" * 26), limb.format("0" * 13)
+        return [f"({digits} div {high})", f"CAST(({digits} div {low}) % {low} AS BIGINT)" if dtype.precision <= 31
+                else f"CAST(({digits} % {high}) div {low} AS BIGINT)", f"CAST({digits} % {low} AS BIGINT)"]
     if isinstance(dtype, T.DateType):
-        return "DATE '1970-01-01'"
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return f"CAST('1970-01-01 00:00:00' AS {dtype.simpleString()})"
-    return f"CAST(0 AS {dtype.simpleString()})"
+        return [f"CAST(unix_date({c}) AS BIGINT)"]
+    if isinstance(dtype, T.TimestampType):
+        return [f"unix_micros({c})"]
+    if isinstance(dtype, T.FractionalType):  # the bits of a double order as integers; NaN is above all
+        bits = f"CAST(reflect('java.lang.Double', 'doubleToLongBits', coalesce(CAST({c} AS DOUBLE), 0.0D) + 0.0D) AS BIGINT)"
+        return [f"IF({bits} < 0, {bits} ^ 9223372036854775807, {bits})"]
+    raw = f"CAST(CAST({c} AS STRING) AS BINARY)"
+    pieces = [f"CAST(conv(rpad(hex(substring({raw}, {at}, 6)), 12, '0'), 16, 10) AS BIGINT)" for at in range(1, max(1, text_bytes) + 1, 6)]
+    return [*pieces, f"CAST(octet_length({raw}) AS BIGINT)"]
 
 
 def _dims(df: DataFrame, keys: list[SortKey]) -> list[_Dim]:
     fields = {f.name: f for f in df.schema.fields}
+    text = [k.column for k in keys if _is_text(fields[k.column].dataType)]
+    longest = df.agg(*[F.max(F.octet_length(F.col(c).cast("string"))).alias(c) for c in text]).first().asDict() if text else {}
     dims: list[_Dim] = []
     for k in keys:
         f = fields[k.column]
         c = _ident(k.column)
-        wide = _widened(f.dataType)
-        if f.nullable and wide is not None:
-            # fold NULL into one out-of-range value of a wider type: one dim, not two
-            wtype, big = wide
-            null_largest = k.ascending != k.nulls_go_first
-            sentinel = big if null_largest else -big
-            dims.append(_Dim(f"coalesce(CAST({c} AS {wtype.simpleString()}), {_sql_lit(sentinel, wtype)})",
-                             k.ascending, wtype, "value", sentinel))
-            continue
-        if f.nullable:
-            # flag 1 marks NULL; NULLs first means flag descending
-            dims.append(_Dim(f"CAST({c} IS NULL AS INT)", not k.nulls_go_first, T.IntegerType(), "null"))
-        value = c
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            # Spark orders NaN above every number
-            dims.append(_Dim(f"CAST(coalesce(isnan({c}), FALSE) AS INT)", k.ascending,
-                             T.IntegerType(), "nan"))
-            value = f"CASE WHEN isnan({c}) THEN {_zero(f.dataType)} ELSE {c} END"
-        dims.append(_Dim(f"coalesce({value}, {_zero(f.dataType)})", k.ascending, f.dataType, "value"))
+        if f.nullable:  # flag 1 marks NULL; NULLs first means flag descending
+            dims.append(_Dim(f"CAST({c} IS NULL AS BIGINT)", not k.nulls_go_first))
+        dims += [_Dim(f"coalesce({v}, 0L)" if f.nullable else v, k.ascending) for v in _value_sql(c, f.dataType, longest.get(k.column) or 0)]
     return dims
 
 
-def _widened(dtype: T.DataType):
-    """(wider type, bound beyond every value) for integral and decimal types."""
-    from decimal import Decimal
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
-        return T.LongType(), 2 ** 62
-    if isinstance(dtype, T.LongType):
-        return T.DecimalType(20, 0), Decimal(10) ** 19
-    if isinstance(dtype, T.DecimalType) and dtype.precision < 38:
-        return (T.DecimalType(dtype.precision + 1, dtype.scale),
-                Decimal(10) ** (dtype.precision - dtype.scale))
-    return None
+def _raw(value: tuple, field: T.StructField):
+    """The value of a single sort key from its dimensions."""
+    if field.nullable:
+        if value[0]:
+            return None
+        value = value[1:]
+    d = field.dataType
+    if isinstance(d, T.BooleanType):
+        return bool(value[0])
+    if isinstance(d, T.IntegralType):
+        return value[0]
+    if isinstance(d, T.DecimalType):
+        whole = value[0] if len(value) == 1 else value[0] * 10 ** 26 + value[1] * 10 ** 13 + value[2]
+        return Decimal(whole).scaleb(-d.scale)
+    if isinstance(d, T.DateType):
+        return datetime.date(1970, 1, 1) + datetime.timedelta(days=value[0])
+    if isinstance(d, T.TimestampType):
+        return datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(microseconds=value[0])
+    if isinstance(d, T.FractionalType):
+        import struct
+        bits = value[0] ^ (2 ** 63 - 1) if value[0] < 0 else value[0]
+        return struct.unpack(">d", struct.pack(">q", bits))[0]
+    return b"".join(v.to_bytes(6, "big") for v in value[:-1])[:value[-1]].decode("utf-8", "replace")
+
+
+def _lit(v: int) -> str:
+    return f"{v}L" if v > -(2 ** 63) else "(-9223372036854775807L - 1L)"
 
 
 def _less(dims: list[_Dim], values: tuple) -> str:
     """SQL: the row sorts strictly before the tuple ``values`` (lexicographic)."""
     expr = None
     for d, v in zip(reversed(dims), reversed(values)):
-        lv = _sql_lit(v, d.dtype)
-        lt = f"({d.sql} {'<' if d.ascending else '>'} {lv})"
-        expr = lt if expr is None else f"({lt} OR ({d.sql} = {lv} AND {expr}))"
+        lt = f"({d.sql} {'<' if d.ascending else '>'} {_lit(v)})"
+        expr = lt if expr is None else f"({lt} OR ({d.sql} = {_lit(v)} AND {expr}))"
     return expr if expr is not None else "FALSE"
 
 
@@ -206,335 +187,138 @@ def _position(dims: list[_Dim], splits: list[tuple]) -> Column:
     return F.expr(f"CAST({_position_sql(dims, splits)} AS INT)")
 
 
-def _tuple_key(dims: list[_Dim]):
-    def cmp(a, b):
-        for d, x, y in zip(dims, a, b):
-            if x == y:
-                continue
-            r = -1 if x < y else 1
-            return r if d.ascending else -r
-        return 0
-    return functools.cmp_to_key(cmp)
-
-
-def _raw(keys: list[SortKey], dims: list[_Dim], values: tuple) -> tuple:
-    """Decode a normalized tuple back to the original key values (NULL -> None)."""
-    out, i = [], 0
-    for _k in keys:
-        is_null = False
-        is_nan = False
-        while dims[i].role != "value":
-            if dims[i].role == "null":
-                is_null = values[i] == 1
-            else:
-                is_nan = values[i] == 1
-            i += 1
-        v = values[i]
-        if dims[i].null_as is not None and v == dims[i].null_as:
-            is_null = True
-        i += 1
-        out.append(None if is_null else (float("nan") if is_nan else v))
-    return tuple(out)
-
-
-# --------------------------------------------------------------------------
-# Distributed exact selection
-# --------------------------------------------------------------------------
+# -- selection ---------------------------------------------------------------
 
 @dataclass
 class RankSpec:
-    """Rows ordered by ``keys`` (restricted to ``where``); find the rows at ``ranks`` (0-based)."""
+    """Rows ordered by ``keys`` (restricted to ``where``); find the rows at ``ranks(n)`` (0-based, ascending)."""
     keys: list[SortKey]
-    ranks: list[int]
+    ranks: Callable[[int], list[int]]
     where: Column | None = None
+    whole_row: bool = False  # tell rows with equal keys apart by a hash of all columns
 
 
 @dataclass
 class Boundary:
-    norm: tuple   # normalized tuple (for comparisons)
-    raw: tuple    # original key values
+    rank: int      # the rank asked for
+    norm: tuple    # its row's dimensions
+    first: int     # rank of the first row with these dimensions
+    rows: int      # rows with these dimensions
 
 
 @dataclass
-class _Range:
-    spec: int
-    lo: tuple | None
-    hi: tuple | None
-    offset: int
-    count: int
-    targets: list = field(default_factory=list)   # indexes into spec.ranks
-
-
-# Session-level memo of counts and boundaries, keyed by the input's semantic
-# plan hash and the request. Reports that score the same (immutable,
-# materialized) table the same way then skip the selection jobs. Inputs whose
-# files change underneath a running session must call clear_cache().
-_MEMO: dict = {}
-_MEMO_LIMIT = 512
-
-
-def clear_cache() -> None:
-    _MEMO.clear()
-
-
-def _memo_key(df: DataFrame, *parts) -> tuple | None:
-    try:
-        return (df.sparkSession.sparkContext.applicationId, df.semanticHash(),
-                repr(df.schema)) + parts
-    except Exception:  # pragma: no cover - plans without a semantic hash
-        return None
-
-
-def _memoized(key, compute):
-    if key is None:
-        return compute()
-    if key not in _MEMO:
-        if len(_MEMO) >= _MEMO_LIMIT:
-            _MEMO.clear()
-        _MEMO[key] = compute()
-    return _MEMO[key]
-
-
-def _cond_repr(c: Column | None) -> str:
-    return "" if c is None else str(c)
+class Selection:
+    n: int
+    dims: list[_Dim]
+    boundaries: list[Boundary]
 
 
-def count_where(df: DataFrame, conds: list[Column | None]) -> list[int]:
-    """Rows satisfying each condition, in one aggregate job."""
-    def compute():
-        aggs = [F.count(F.lit(1)) if c is None else F.count(F.when(c, F.lit(1))) for c in conds]
-        row = df.agg(*[a.alias(f"n{i}") for i, a in enumerate(aggs)]).collect()[0]
-        return [int(row[f"n{i}"]) for i in range(len(conds))]
-    key = _memo_key(df, "count", tuple(_cond_repr(c) for c in conds))
-    return list(_memoized(key, compute))
+class _Range:
+    """Rows that share the leading dimensions ``fixed``, with the bounds of the next one."""
 
+    def __init__(self, lows, highs, offset: int, rows: int, targets: list[int]):
+        self.offset, self.rows, self.targets = offset, rows, targets
+        fixed = 0
+        while fixed < len(lows) and lows[fixed] == highs[fixed]:
+            fixed += 1
+        self.fixed = tuple(lows[:fixed])
+        self.open = fixed < len(lows)
+        self.low, self.high = (lows[fixed], highs[fixed]) if self.open else (0, 0)
 
-MAX_ROUNDS = 12
-# Most literal points one binary-search expression may hold. Open ranges of a
-# spec beyond that are split over several union branches, so every generated
-# comparison tree stays small enough for whole-stage codegen.
-MAX_POINTS = 128
+    def width(self, bins: int) -> int:
+        return max(1, (self.high - self.low) // bins)
 
+    def match_sql(self, dims: list[_Dim]) -> str:
+        same = [f"{d.sql} = {_lit(v)}" for d, v in zip(dims, self.fixed)]
+        d = dims[len(self.fixed)].sql
+        return " AND ".join([*same, f"{d} BETWEEN {_lit(self.low)} AND {_lit(self.high)}"])
 
-def _groups(by_spec: dict, points_per_range) -> list[tuple[int, list]]:
-    out = []
-    for i, rs in by_spec.items():
-        size = max(1, MAX_POINTS // points_per_range(len(rs)))
-        out += [(i, rs[k:k + size]) for k in range(0, len(rs), size)]
-    return out
+    def bin_sql(self, dims: list[_Dim], bins: int) -> str:
+        return f"({dims[len(self.fixed)].sql} div {_lit(self.width(bins))})"
 
 
-def select_ranks(df: DataFrame, specs: list[RankSpec], counts: list[int] | None = None, *,
-                 fanout: int = DEFAULT_FANOUT, base_rows: int = DEFAULT_BASE_ROWS,
-                 oversample: int = DEFAULT_OVERSAMPLE, seed: int = DEFAULT_SEED,
-                 ) -> list[list[Boundary]]:
-    """Exact rows at the given ranks of each spec's ordering, as boundaries.
-
-    Each round reads the table once per spec (all of a spec's open ranges
-    share one binary-search position expression), whatever the number of
-    wanted ranks; ``fanout`` is the split budget per spec and round.
-    """
-    if counts is None:
-        counts = count_where(df, [s.where for s in specs])
-    key = _memo_key(df, "ranks", tuple((tuple(s.keys), tuple(s.ranks), _cond_repr(s.where))
-                                       for s in specs), tuple(counts), fanout, base_rows)
-    return [list(b) for b in _memoized(key, lambda: _select_ranks(
-        df, specs, counts, fanout, base_rows, oversample, seed))]
-
-
-def _select_ranks(df, specs, counts, fanout, base_rows, oversample, seed):
-    dims = [_dims(df, s.keys) for s in specs]
-    wheres = [s.where if s.where is not None else F.lit(True) for s in specs]
-    for s, n in zip(specs, counts):
-        for r in s.ranks:
-            if not 0 <= r < n:
-                raise ValueError(f"rank {r} outside [0, {n})")
-
-    result: list[list[Boundary | None]] = [[None] * len(s.ranks) for s in specs]
-    active = {i: [_Range(i, None, None, 0, counts[i], list(range(len(s.ranks))))]
-              for i, s in enumerate(specs) if s.ranks}
-    to_window: dict[int, list[_Range]] = {}
-    round_no = 0
-    while active:
-        big: dict[int, list[_Range]] = {}
-        for i, rs in active.items():
-            for r in rs:
-                (to_window if r.count <= base_rows else big).setdefault(i, []).append(r)
-        if not big:
-            break
-        round_no += 1
-        if round_no > MAX_ROUNDS:  # pragma: no cover - only with pathological samples
-            for i, rs in big.items():
-                to_window.setdefault(i, []).extend(rs)
-            break
-        groups = _groups(big, lambda n_ranges: max(4, fanout // n_ranges) + 2)
-        splits = _sample_splits(df, groups, dims, wheres, fanout, oversample, seed + round_no)
-        active = _refine(df, groups, splits, dims, wheres, specs, result)
-    if to_window:
-        _resolve_by_window(df, _groups(to_window, lambda _: 2), dims, wheres, specs, result)
-    return [list(per) for per in result]
-
-
-def _col(i: int, j: int) -> str:
-    return f"__s{i}_d{j}"
-
-
-def _dim_cols(i: int, d: list[_Dim]) -> list[Column]:
-    return [x.expr.alias(_col(i, j)) for j, x in enumerate(d)]
-
-
-def _layout(points: list[tuple], d: list[_Dim]) -> tuple[list[tuple], dict]:
-    """Sorted distinct points and, for each, the position value of rows just above it."""
-    key = _tuple_key(d)
-    pts = sorted(set(points), key=key)
-    return pts, {p: k + 1 for k, p in enumerate(pts)}
-
-
-def _range_position(rg: _Range, index: dict) -> int:
-    return 0 if rg.lo is None else index[rg.lo]
-
-
-def _sample_splits(df, big, dims, wheres, fanout, oversample, seed):
-    """Bounded Bernoulli sample of every open range -> split tuples per range."""
-    branches, layouts = [], {}
-    for b, (i, rs) in enumerate(big):
-        d = dims[i]
-        pts, index = _layout([b for r in rs for b in (r.lo, r.hi) if b is not None], d)
-        per_range = max(4, fanout // len(rs))
-        fracs = {_range_position(r, index): min(1.0, oversample * per_range / max(r.count, 1))
-                 for r in rs}
-        layouts[b] = (index, per_range)
-        lookup = F.create_map(*[x for p, f in fracs.items() for x in (F.lit(p), F.lit(f))])
-        cap = 4 * oversample * per_range * len(rs)
-        branch = (df.filter(wheres[i])
-             .select(F.lit(b).alias("__grp"), _position(d, pts).alias("__pos"), *_dim_cols(i, d))
-             .filter(F.col("__pos").isin(list(fracs)))
-             .filter(F.rand(seed + i) < lookup[F.col("__pos")])
-             .limit(cap))
-        branches.append(branch)
-    samples: dict[tuple, list[tuple]] = {}
-    for row in _union(branches).collect():
-        b = row["__grp"]
-        i = big[b][0]
-        samples.setdefault((b, row["__pos"]), []).append(
-            tuple(row[_col(i, j)] for j in range(len(dims[i]))))
-    out = {}
-    for b, (i, rs) in enumerate(big):
-        d = dims[i]
-        key = _tuple_key(d)
-        index, per_range = layouts[b]
-        for r in rs:
-            pts = sorted(samples.get((b, _range_position(r, index)), []), key=key)
-            chosen: list[tuple] = []
-            m = len(pts)
-            for q in range(1, per_range if m else 0):
-                t = pts[min(m - 1, (q * m) // per_range)]
-                if r.lo is not None and key(t) <= key(r.lo):
-                    continue
-                if chosen and key(t) <= key(chosen[-1]):
-                    continue
-                chosen.append(t)
-            out[id(r)] = chosen
-    return out
+def _whole_row(df: DataFrame) -> _Dim:
+    return _Dim(f"xxhash64({', '.join(_ident(c) for c in df.columns)})", True)
 
 
-def _refine(df, big, splits, dims, wheres, specs, result):
-    """Count rows per sub-range of every open range (one pass per spec); narrow each rank."""
-    branches, layouts = [], {}
-    for b, (i, rs) in enumerate(big):
-        d = dims[i]
-        pts = [b for r in rs for b in (r.lo, r.hi) if b is not None]
-        pts += [s for r in rs for s in splits[id(r)]]
-        pts, index = _layout(pts, d)
-        layouts[b] = index
-        wanted = sorted({_range_position(r, index) + j for r in rs
-                         for j in range(len(splits[id(r)]) + 1)})
-        names = [_col(i, j) for j in range(len(d))]
-        branch = (df.filter(wheres[i])
-             .select(F.lit(b).alias("__grp"), _position(d, pts).alias("__q"), *_dim_cols(i, d))
-             .filter(F.col("__q").isin(wanted))
-             .groupBy("__grp", "__q")
-             .agg(F.count(F.lit(1)).alias("__n"),
-                  *[F.min(nm).alias(f"__min{nm}") for nm in names],
-                  *[F.max(nm).alias(f"__max{nm}") for nm in names]))
-        branches.append(branch)
-    stats: dict[tuple, tuple] = {}
-    for row in _union(branches).collect():
-        b = row["__grp"]
-        i = big[b][0]
-        names = [_col(i, j) for j in range(len(dims[i]))]
-        stats[(b, row["__q"])] = (int(row["__n"]), tuple(row[f"__min{nm}"] for nm in names),
-                                  tuple(row[f"__max{nm}"] for nm in names))
-
-    nxt: dict[int, dict[tuple, _Range]] = {}
-    for b, (i, rs) in enumerate(big):
-        index = layouts[b]
-        for r in rs:
-            sp = splits[id(r)]
-            base = _range_position(r, index)
-            bounds = [r.lo] + sp + [r.hi]
-            for t in r.targets:
-                local = specs[i].ranks[t] - r.offset
-                before = 0
-                for j in range(len(sp) + 1):
-                    n_sub, mins, maxs = stats.get((b, base + j), (0, None, None))
-                    if local < before + n_sub:
-                        if mins == maxs:  # one distinct tuple fills the sub-range
-                            result[i][t] = Boundary(mins, _raw(specs[i].keys, dims[i], mins))
-                        else:
-                            k = (bounds[j], bounds[j + 1])
-                            per = nxt.setdefault(i, {})
-                            if k not in per:
-                                per[k] = _Range(i, bounds[j], bounds[j + 1], r.offset + before, n_sub)
-                            per[k].targets.append(t)
-                        break
-                    before += n_sub
-                else:  # pragma: no cover - counts are exact, so a sub-range always matches
-                    raise RuntimeError("rank not found in sub-ranges")
-    return {i: list(per.values()) for i, per in nxt.items()}
-
-
-def _resolve_by_window(df, to_window, dims, wheres, specs, result):
-    """Rank the rows of each small range exactly: one window branch per spec."""
-    branches, layouts = [], {}
-    for b, (i, rs) in enumerate(to_window):
-        d = dims[i]
-        pts, index = _layout([b for r in rs for b in (r.lo, r.hi) if b is not None], d)
-        layouts[b] = index
-        positions = sorted({_range_position(r, index) for r in rs})
-        wanted = sorted({specs[i].ranks[t] - r.offset + 1 for r in rs for t in r.targets})
-        names = [_col(i, j) for j in range(len(d))]
-        order = [F.col(nm).asc() if x.ascending else F.col(nm).desc() for nm, x in zip(names, d)]
-        w = Window.partitionBy("__pos").orderBy(*order)
-        branch = (df.filter(wheres[i])
-             .select(F.lit(b).alias("__grp"), _position(d, pts).alias("__pos"), *_dim_cols(i, d))
-             .filter(F.col("__pos").isin(positions))
-             .withColumn("__rn", F.row_number().over(w))
-             .filter(F.col("__rn").isin(wanted)))
-        branches.append(branch)
-    found: dict[tuple, tuple] = {}
-    for row in _union(branches).collect():
-        b = row["__grp"]
-        i = to_window[b][0]
-        found[(b, row["__pos"], row["__rn"])] = tuple(row[_col(i, j)] for j in range(len(dims[i])))
-    for b, (i, rs) in enumerate(to_window):
-        for r in rs:
-            p = _range_position(r, layouts[b])
-            for t in r.targets:
-                norm = found[(b, p, specs[i].ranks[t] - r.offset + 1)]
-                result[i][t] = Boundary(norm, _raw(specs[i].keys, dims[i], norm))
-
-
-def _union(branches: list[DataFrame]) -> DataFrame:
-    out = branches[0]
-    for b in branches[1:]:
-        out = out.unionByName(b, allowMissingColumns=True)
+def _prunable(df: DataFrame, spec: RankSpec, ranges: list[_Range]) -> str | None:
+    """A bound on the raw first key that holds for all rows of the open ranges, if it is an integer column."""
+    field = df.schema[spec.keys[0].column]
+    if not isinstance(field.dataType, T.IntegralType):
+        return None
+    at, c = int(field.nullable), _ident(field.name)
+    lows, highs = [], []
+    for r in ranges:
+        if len(r.fixed) < at or (at and r.fixed[0] == 1):
+            return None
+        lows.append(r.fixed[at] if len(r.fixed) > at else r.low)
+        highs.append(r.fixed[at] if len(r.fixed) > at else r.high)
+    return f"({c} >= {_lit(min(lows))} AND {c} <= {_lit(max(highs))})"
+
+
+def select_ranks(df: DataFrame, specs: list[RankSpec], bins: int = RANGE_BINS) -> list[Selection]:
+    """The rows at the wanted ranks of each spec: one aggregate over the table per round, for all specs."""
+    dims = [_dims(df, s.keys) + ([_whole_row(df)] if s.whole_row else []) for s in specs]
+    wheres = [F.lit(True) if s.where is None else F.coalesce(s.where, F.lit(False)) for s in specs]
+    size = max(map(len, dims), default=0)
+    padded = [[F.expr(d.sql) for d in ds] + [F.lit(0).cast("bigint")] * (size - len(ds)) for ds in dims]
+
+    def counted(rows: DataFrame, ranges: list) -> list:
+        """Counters per (spec, range, bin); ranges: per spec an SQL expression of (r, b) or None for one range."""
+        found = []
+        for i, (ds, where) in enumerate(zip(padded, wheres)):
+            if ranges[i] is not None:
+                place = F.expr("named_struct('r', -1, 'b', 0L)") if ranges[i] == "" else F.expr(ranges[i])
+                found.append(F.when(where & place.isNotNull(), F.struct(F.lit(i).alias("s"), place.alias("p"), F.array(*ds).alias("d"))))
+        one = rows.select(F.explode(F.array_compact(F.array(*found))).alias("x"))
+        stats = one.groupBy("x.s", F.col("x.p.r").alias("r"), F.col("x.p.b").alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), *[f(F.col("x.d")[j]).alias(f"{name}{j}") for j in range(size) for f, name in ((F.min, "lo"), (F.max, "hi"))])
+        return [(x["s"], x["r"], x["b"], x["n"], [x[f"lo{j}"] for j in range(len(dims[x["s"]]))], [x[f"hi{j}"] for j in range(len(dims[x["s"]]))])
+                for x in stats.collect()]
+
+    out = [Selection(0, ds, []) for ds in dims]
+    wanted: list[list[int]] = [[] for _ in specs]
+    todo: list[list[_Range]] = [[] for _ in specs]
+
+    def place(i: int, r: _Range) -> None:
+        if r.open:
+            todo[i].append(r)
+        else:
+            out[i].boundaries += [Boundary(t, r.fixed, r.offset, r.rows) for t in r.targets]
+
+    for i, _, _, n, lows, highs in counted(df, [""] * len(specs)) if specs else []:
+        out[i].n = n
+        wanted[i] = sorted(specs[i].ranks(n))
+        if wanted[i] and not 0 <= wanted[i][0] <= wanted[i][-1] < n:
+            raise ValueError(f"rank outside [0, {n})")
+        if wanted[i]:
+            place(i, _Range(lows, highs, 0, n, wanted[i]))
+    while any(todo):
+        now, todo = todo, [[] for _ in specs]
+        per = [max(bins, min(ROUND_BINS, bins * 32) // len(rs)) if rs else 0 for rs in now]
+        cases = [("CASE " + " ".join(f"WHEN {r.match_sql(dims[i])} THEN named_struct('r', {k}, 'b', {r.bin_sql(dims[i], per[i])})" for k, r in enumerate(rs)) + " END") if rs else None
+                 for i, rs in enumerate(now)]
+        bounds = [_prunable(df, specs[i], rs) for i, rs in enumerate(now) if rs]
+        rows = df if None in bounds else df.filter(F.expr(" OR ".join(bounds)))
+        stats: dict = {}
+        for i, k, b, n, lows, highs in counted(rows, cases):
+            stats.setdefault((i, k), []).append((b, n, lows, highs))
+        for i, rs in enumerate(now):
+            for k, r in enumerate(rs):
+                up = dims[i][len(r.fixed)].ascending
+                before, left = r.offset, list(r.targets)
+                for _, n, lows, highs in sorted(stats[i, k], key=lambda x: x[0], reverse=not up):
+                    mine = [t for t in left if t < before + n]
+                    if mine:
+                        place(i, _Range(lows, highs, before, n, mine))
+                        left = left[len(mine):]
+                    before += n
+    for o in out:
+        o.boundaries.sort(key=lambda x: x.rank)
     return out
 
 
-# --------------------------------------------------------------------------
-# Operators built on the selection
-# --------------------------------------------------------------------------
+# -- operators on the selection ------------------------------------------------
 
 def ntile_starts(n: int, k: int) -> list[int]:
     """0-based first ranks of buckets 2..k of NTILE(k) over n rows (existing buckets only).
@@ -558,72 +342,94 @@ class NtileSpec:
     k: int
 
 
-def with_ntiles(df: DataFrame, specs: list[NtileSpec], where: Column | None = None,
-                **tuning) -> DataFrame:
+def _split_runs(df: DataFrame, labels: list[tuple[str, Column]], torn: list[tuple[str, Selection, list[int]]]) -> DataFrame:
+    """Counts out rows that are equal in every column where a boundary falls among them.
+
+    Equal rows are the same row: each run is one group, written again with numbers 0..n-1, in pieces;
+    rows of other runs keep their labels. torn: (name, selection, label of each boundary)."""
+    name_of = dict(labels)
+    inside = []
+    for name, s, marks in torn:
+        runs: dict[tuple, list] = {}
+        label = 1
+        for b, mine in zip(s.boundaries, marks):
+            # the copies before the run's first boundary belong to the bucket before it
+            runs.setdefault(b.norm, [(0, label)]).append((b.rank - b.first, mine))
+            label = mine
+        for v, cuts in runs.items():
+            if cuts[-1][0] == 0:
+                continue
+            same = "(" + " AND ".join(f"{d.sql} = {_lit(x)}" for d, x in zip(s.dims, v)) + ")"
+            number = F.lit(cuts[0][1])
+            for at, value in cuts[1:]:
+                number = F.when(F.col("__i") >= at, F.lit(value)).otherwise(number)
+            name_of[name] = F.when(F.expr(same), number).otherwise(name_of[name])
+            inside.append(same)
+    cond = F.expr(" OR ".join(inside))
+    columns = [F.col(_ident(c)) for c in df.columns]
+    grouped = df.filter(cond).groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+    pieces = grouped.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / RUN_COPIES)))).repartition("__p")
+    copies = pieces.withColumn("__i", F.explode(F.sequence(F.col("__p") * RUN_COPIES, F.least((F.col("__p") + 1) * RUN_COPIES, F.col("__n")) - 1)))
+    rest = df.filter(~cond).select(*columns, *[c.alias(n) for n, c in labels])
+    return rest.unionByName(copies.select(*columns, *[name_of[n].cast("int").alias(n) for n, _ in labels]))
+
+
+def _with_labels(df: DataFrame, specs: list[tuple[str, list[SortKey], Callable]], where: Column | None, bins: int) -> DataFrame:
+    """Adds int columns: per spec, ``starts(n)`` gives ascending (rank, label) pairs; a row gets the label of
+    the last start at or before it (1 before the first)."""
+    plans = [RankSpec(keys, lambda n, f=starts: [r for r, _ in f(n)], where) for _, keys, starts in specs]
+    found = select_ranks(df, plans, bins)
+    again = [i for i, s in enumerate(found) if any(b.rank > b.first for b in s.boundaries)]
+    if again:  # keys tie across a boundary: order those rows by a hash of the whole row
+        for i in again:
+            plans[i].whole_row = True
+        for i, s in zip(again, select_ranks(df, [plans[i] for i in again], bins)):
+            found[i] = s
+    columns, torn = [], []
+    for (name, _, starts), s in zip(specs, found):
+        marks = [x for _, x in starts(s.n)]
+        at = _position(s.dims, [b.norm for b in s.boundaries])
+        col = (at + F.lit(1)).cast("int") if marks == list(range(2, len(marks) + 2)) else F.element_at(F.array(*[F.lit(x) for x in [1, *marks]]), at + F.lit(1))
+        columns.append((name, col if where is None else F.when(where, col)))
+        if any(b.rank > b.first for b in s.boundaries):
+            torn.append((name, s, marks))
+    if torn:
+        return _split_runs(df, columns, torn)
+    return df.select("*", *[c.alias(n) for n, c in columns])
+
+
+def with_ntiles(df: DataFrame, specs: list[NtileSpec], where: Column | None = None, bins: int = RANGE_BINS) -> DataFrame:
     """Add ``NTILE(k) OVER (ORDER BY keys)`` columns computed over the whole table.
 
-    ``where`` restricts the ordered rows (as a WHERE before the window);
-    rows outside it get NULL. All specs share one count job and their
-    selection jobs.
-    """
-    n = count_where(df, [where])[0]
-    rank_specs = [RankSpec(s.keys, ntile_starts(n, s.k), where) for s in specs]
-    bounds = select_ranks(df, rank_specs, [n] * len(specs), **tuning)
-    out = df
-    for s, b in zip(specs, bounds):
-        d = _dims(df, s.keys)
-        col = (_position(d, [x.norm for x in b]) + F.lit(1)).cast("int")
-        if where is not None:
-            col = F.when(where, col)
-        out = out.withColumn(s.name, col)
-    return out
+    ``where`` restricts the ordered rows (as a WHERE before the window); rows outside it get NULL."""
+    return _with_labels(df, [(s.name, s.keys, lambda n, k=s.k: [(r, j + 2) for j, r in enumerate(ntile_starts(n, k))]) for s in specs], where, bins)
 
 
-def with_ntiles_by(df: DataFrame, by: str, specs: list[NtileSpec], max_groups: int = 1024,
-                   **tuning) -> DataFrame:
+def with_ntiles_by(df: DataFrame, by: str, specs: list[NtileSpec], bins: int = RANGE_BINS) -> DataFrame:
     """``NTILE(k) OVER (PARTITION BY by ORDER BY keys)`` for a column with few values.
 
-    Each group is ordered on its own (exactly like filtering to the group
-    first); the group values are read with a bounded ``limit`` check, and a
-    group holding most of the table is split like any global ordering.
-    """
-    values = [r[0] for r in df.select(by).distinct().limit(max_groups + 1).collect()]
-    if len(values) > max_groups:
-        raise ValueError(f"{by} has more than {max_groups} values")
-    conds = [F.col(by).eqNullSafe(F.lit(v)) for v in values]
-    ns = count_where(df, conds)
-    rank_specs, index = [], []
-    for g, (cond, n) in enumerate(zip(conds, ns)):
-        for s in specs:
-            rank_specs.append(RankSpec(s.keys, ntile_starts(n, s.k), cond))
-            index.append((g, s))
-    bounds = select_ranks(df, rank_specs, [ns[g] for g, _ in index], **tuning)
-    out = df
-    for s in specs:
-        d = _dims(df, s.keys)
-        col = None
-        for (g, s2), b in zip(index, bounds):
-            if s2 is not s:
-                continue
-            val = (_position(d, [x.norm for x in b]) + F.lit(1)).cast("int")
-            col = F.when(conds[g], val) if col is None else col.when(conds[g], val)
-        out = out.withColumn(s.name, col if col is not None else F.lit(None).cast("int"))
-    return out
+    The group leads the sort keys, so all groups are selected in the same scans; the boundaries
+    (groups x k) are literals of the plan."""
+    order = asc(by).spark_order()
+    sizes = [r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(order).collect()]
 
+    def starts(k: int) -> Callable:
+        marks, at = [], 0
+        for n in sizes:
+            marks += [(at, 1)] * bool(at) + [(at + r, j + 2) for j, r in enumerate(ntile_starts(n, k))]
+            at += n
+        return lambda _: marks
 
-def global_ntile(df: DataFrame, name: str, order: list[SortKey], k: int, by: str | None = None,
-                 **tuning) -> DataFrame:
-    """``NTILE(k) OVER ([PARTITION BY by] ORDER BY order)`` as column ``name``.
+    return _with_labels(df, [(s.name, [asc(by), *s.keys], starts(s.k)) for s in specs], None, bins)
 
-    ``order`` should end with a unique key so that bucket sizes are exact.
-    """
+
+def global_ntile(df: DataFrame, name: str, order: list[SortKey], k: int, by: str | None = None, **tuning) -> DataFrame:
+    """``NTILE(k) OVER ([PARTITION BY by] ORDER BY order)`` as column ``name``."""
     spec = [NtileSpec(name, list(order), k)]
-    if by is None:
-        return with_ntiles(df, spec, **tuning)
-    return with_ntiles_by(df, by, spec, **tuning)
+    return with_ntiles(df, spec, **tuning) if by is None else with_ntiles_by(df, by, spec, **tuning)
 
 
-def top_bucket_cutoff(df: DataFrame, column: str, k: int = 100, n: int | None = None, **tuning):
+def top_bucket_cutoff(df: DataFrame, column: str, k: int = 100, **tuning):
     """Smallest value in the last bucket of ``NTILE(k) OVER (ORDER BY column)``.
 
     Returns None when that bucket does not exist (fewer than k rows) or holds
@@ -631,13 +437,8 @@ def top_bucket_cutoff(df: DataFrame, column: str, k: int = 100, n: int | None =
     cutoff`` has its value in the last bucket, so deleting "values found in
     the last bucket" equals deleting ``column >= cutoff``.
     """
-    if n is None:
-        n = count_where(df, [None])[0]
-    if n < k:
-        return None
-    start = n - n // k
-    b = select_ranks(df, [RankSpec([asc(column)], [start])], [n], **tuning)[0][0]
-    return b.raw[0]
+    found = select_ranks(df, [RankSpec([asc(column)], lambda n: [n - n // k] if n >= k else [])], **tuning)[0]
+    return _raw(found.boundaries[0].norm, df.schema[column]) if found.boundaries else None
 
 
 def exact_medians(df: DataFrame, columns: list[str], **tuning) -> dict[str, tuple | None]:
@@ -645,22 +446,9 @@ def exact_medians(df: DataFrame, columns: list[str], **tuning) -> dict[str, tupl
 
     ``PERCENTILE_CONT(0.5)`` is ``(lo + hi) / 2``; lo == hi for an odd count.
     """
-    conds = [F.col(c).isNotNull() for c in columns]
-    ns = count_where(df, conds)
-    specs, live = [], []
-    for c, cond, n in zip(columns, conds, ns):
-        if n == 0:
-            continue
-        specs.append(RankSpec([asc(c)], sorted({(n - 1) // 2, n // 2}), cond))
-        live.append((c, n))
-    out: dict[str, tuple | None] = {c: None for c in columns}
-    if specs:
-        bounds = select_ranks(df, specs, [n for _, n in live], **tuning)
-        for (c, n), b in zip(live, bounds):
-            lo = b[0].raw[0]
-            hi = b[-1].raw[0]
-            out[c] = (lo, hi)
-    return out
+    found = select_ranks(df, [RankSpec([asc(c)], lambda n: sorted({(n - 1) // 2, n // 2}) if n else [], F.col(c).isNotNull()) for c in columns], **tuning)
+    return {c: (_raw(s.boundaries[0].norm, df.schema[c]), _raw(s.boundaries[-1].norm, df.schema[c])) if s.boundaries else None
+            for c, s in zip(columns, found)}
 
 
 def median_value(pair: tuple | None) -> float | None:

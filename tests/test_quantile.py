@@ -18,8 +18,8 @@ SCHEMA = T.StructType([
     T.StructField("x", T.DoubleType()),
 ])
 
-TUNINGS = [dict(), dict(base_rows=9, fanout=6, oversample=2)]
-DEEP = dict(base_rows=2, fanout=4, oversample=1)
+TUNINGS = [dict(), dict(bins=6)]
+DEEP = dict(bins=2)
 
 
 def table(spark, n, seed, null_frac=0.1, distinct=5):
@@ -65,7 +65,7 @@ def test_ntile_matches_window(spark, n, tuning):
 def test_ntile_with_where_and_groups(spark):
     df = table(spark, 60, seed=7)
     keys = [Q.asc("v"), Q.asc("id")]
-    got = Q.with_ntiles_by(df, "s", [Q.NtileSpec("q", keys, 3)], base_rows=4, fanout=3)
+    got = Q.with_ntiles_by(df, "s", [Q.NtileSpec("q", keys, 3)], bins=3)
     w = Window.partitionBy("s").orderBy(*[k.spark_order() for k in keys])
     ref = df.withColumn("q_r", F.ntile(3).over(w))
     j = got.join(ref.select("id", "q_r"), "id")
@@ -76,17 +76,17 @@ def test_one_value_holds_most_rows(spark):
     """A value that fills a third (here: most) of the table resolves without a window."""
     rows = [(i, 1 if i % 3 else i) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, v int")
-    spec = Q.RankSpec([Q.asc("v")], [0, 150, 299])
-    b = Q.select_ranks(df, [spec], base_rows=10, fanout=4)[0]
+    spec = Q.RankSpec([Q.asc("v")], lambda n: [0, 150, 299])
+    b = Q.select_ranks(df, [spec], bins=4)[0].boundaries
     ordered = sorted(v for _, v in rows)
-    assert [x.raw[0] for x in b] == [ordered[0], ordered[150], ordered[299]]
+    assert [Q._raw(x.norm, df.schema["v"]) for x in b] == [ordered[0], ordered[150], ordered[299]]
 
 
 @pytest.mark.parametrize("n,null_frac", [(50, 0.0), (99, 0.0), (100, 0.0), (101, 0.05),
                                          (250, 0.0), (250, 0.005), (250, 0.05)])
 def test_top_percentile_cutoff_matches_semi_join(spark, n, null_frac):
     df = table(spark, n, seed=n + int(null_frac * 1000), null_frac=null_frac, distinct=40)
-    kept, removed = trim_top_percentile(df, "v", base_rows=7, fanout=3)
+    kept, removed = trim_top_percentile(df, "v", bins=3)
     bucket = df.withColumn("p", F.ntile(100).over(Window.orderBy(F.col("v").asc_nulls_last())))
     top = bucket.filter("p = 100").select("v").distinct()
     ref_removed = df.join(top, "v", "left_semi")
@@ -96,7 +96,7 @@ def test_top_percentile_cutoff_matches_semi_join(spark, n, null_frac):
 
 def test_exact_medians(spark):
     df = table(spark, 41, seed=3, distinct=11)
-    med = Q.exact_medians(df, ["v", "d", "x"], base_rows=5, fanout=3)
+    med = Q.exact_medians(df, ["v", "d", "x"], bins=3)
     ref = df.agg(F.percentile("v", 0.5), F.percentile(F.col("d").cast("double"), 0.5)).collect()[0]
     assert Q.median_value(med["v"]) == ref[0]
     assert abs(Q.median_value(med["d"]) - ref[1]) < 1e-12
@@ -124,3 +124,57 @@ def test_global_ntile_convenience(spark):
     ref = reference(df, "t_r", keys, 4)
     j = got.join(ref.select("id", "t_r"), "id")
     assert j.filter(F.col("t") != F.col("t_r")).count() == 0
+
+
+def _sizes(df, col):
+    return sorted(r["count"] for r in df.groupBy(col).count().collect())
+
+
+@pytest.mark.parametrize("rows,k", [
+    ([(i // 10, "x") for i in range(100)], 4),            # ten copies of every row
+    ([(1, "x")] * 50 + [(i, "y") for i in range(51)], 7),  # one id on half the rows
+    ([(None, "x")] * 13 + [(i, None) for i in range(20)], 5),
+    ([(1, "x")] * 9, 4),
+])
+def test_bucket_sizes_with_repeated_rows(spark, rows, k):
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = Q.with_ntiles(df, [Q.NtileSpec("t", [Q.asc("id")], k), Q.NtileSpec("u", [Q.desc("s")], k)])
+    ref = df.withColumn("t", F.ntile(k).over(Window.orderBy("id")))
+    assert _sizes(got, "t") == _sizes(ref, "t") and _sizes(got, "u") == _sizes(ref, "t")
+    assert sorted(map(str, got.select("id", "s").collect())) == sorted(map(str, df.collect()))
+    pairs = sorted((r["t"], r["id"] is None, r["id"] or 0) for r in got.collect())
+    assert [p[1:] for p in pairs] == sorted(p[1:] for p in pairs)
+
+
+def test_rank_of_rows_that_change_on_disk(spark, tmp_path):
+    """Nothing is remembered between calls: a folder written anew gives new buckets."""
+    path = str(tmp_path / "t")
+    for shift in (0, 1000):
+        spark.range(100).selectExpr(f"id + {shift} AS id").write.mode("overwrite").parquet(path)
+        spark.catalog.refreshByPath(path)
+        got = Q.with_ntiles(spark.read.parquet(path), [Q.NtileSpec("t", [Q.asc("id")], 4)])
+        assert _sizes(got, "t") == [25] * 4
+
+
+@pytest.mark.parametrize("k,keys", [(5, 1), (100, 1), (5, 3), (100, 3)])
+def test_few_scans_and_no_single_partition_of_rows(spark, monkeypatch, k, keys):
+    df = spark.range(300_000).selectExpr("id", "id * 7919 % 1000 AS a", "CAST(id * 31 % 100003 AS INT) AS b", "CAST(id % 97 AS DECIMAL(9,2)) AS c")
+    scans, plain = [], type(df).collect
+
+    def seen(self):
+        plan = self._jdf.queryExecution().executedPlan().toString()
+        scans.append(plan)
+        return plain(self)
+    monkeypatch.setattr(type(df), "collect", seen)
+    got = Q.with_ntiles(df, [Q.NtileSpec(f"t{c}", [Q.asc(c), Q.asc("id")], k) for c in "abc"[:keys]])
+    monkeypatch.undo()
+    assert len(scans) <= 8
+    assert not any("SinglePartition" in p or "Window" in p for p in scans)
+    assert _sizes(got, "ta") == [300_000 // k] * k
+
+
+def test_where_restricts_the_ordered_rows(spark):
+    df = spark.range(50).withColumn("g", F.col("id") % 2)
+    got = Q.with_ntiles(df, [Q.NtileSpec("t", [Q.asc("id")], 5)], where=F.col("g") == 1)
+    assert got.filter("g = 0 AND t IS NOT NULL").count() == 0
+    assert _sizes(got.filter("g = 1"), "t") == [5] * 5
