@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnlens.functions import fixed
-from churnlens.functions.exact import fixed2_text, fraction, idiv, percent, rounded_scaled
+from churnlens.functions.exact import fixed2_text, fraction, idiv, percent, rounded_scaled, unscaled_sum
 from churnlens.functions.labels import churned_flag
 
 
@@ -18,20 +19,28 @@ def _attrited() -> Column:
     return F.col("attrition_flag") == F.lit(fixed.ATTRITED)
 
 
+def _spend(df: DataFrame, months: int) -> tuple[Column, Column]:
+    """(aggregate, hundredths of millions) of SUM(total_trans_amt) / months / 1,000,000.
+
+    Follows the column's type as SQL does: the sum of an INTEGER column is an integer and its quotients
+    are cut off; the sum of a BIGINT or decimal column is numeric and the quotient is rounded."""
+    dtype = df.schema["total_trans_amt"].dataType
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType)):
+        return F.sum("total_trans_amt"), idiv(idiv(F.col("s"), F.lit(months)), F.lit(1000000)) * 100
+    scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0
+    return unscaled_sum(F.col("total_trans_amt"), scale), rounded_scaled(F.col("s"), F.lit(months * 1000000 * 10 ** scale).cast("bigint"))
+
+
 def kpi_text(df: DataFrame) -> DataFrame:
-    """Headline KPIs formatted as text ('1.50K', '$3.00M', ...).
+    """Headline KPIs formatted as text ('1.50K', '$3.76M', ...).
 
-    Spend totals use integer division by 1,000,000 (whole millions), the
-    monthly figures integer division by 12, as the analysis computes them.
-    """
-    agg = df.agg(F.count("clietnum").alias("c"), F.sum("total_trans_amt").alias("s"),
-                 F.sum("total_trans_ct").alias("t"))
+    Spend follows the type of its column; transactions are integers, so their months are cut off."""
+    total, spend = _spend(df, 1)
+    agg = df.agg(F.count("clietnum").alias("c"), total.alias("s"), F.sum("total_trans_ct").alias("t"))
     return agg.select(
         F.concat(fixed2_text(rounded_scaled(F.col("c"), F.lit(1000))), F.lit("K")).alias("total_customers"),
-        F.concat(F.lit("$"), fixed2_text(idiv(F.col("s"), F.lit(1000000)) * 100), F.lit("M"))
-         .alias("total_spend"),
-        F.concat(F.lit("$"), fixed2_text(idiv(idiv(F.col("s"), F.lit(12)), F.lit(1000000)) * 100),
-                 F.lit("M")).alias("total_monthly_spend"),
+        F.concat(F.lit("$"), fixed2_text(spend), F.lit("M")).alias("total_spend"),
+        F.concat(F.lit("$"), fixed2_text(_spend(df, 12)[1]), F.lit("M")).alias("total_monthly_spend"),
         F.concat(fixed2_text(rounded_scaled(idiv(F.col("t"), F.lit(12)), F.lit(1000))), F.lit("K"))
          .alias("total_monthly_transactions"),
     )
@@ -39,12 +48,13 @@ def kpi_text(df: DataFrame) -> DataFrame:
 
 def kpi_numeric(df: DataFrame) -> DataFrame:
     """Headline KPIs as numbers, plus the percentage of churned customers."""
-    agg = df.agg(F.count("clietnum").alias("c"), F.sum("total_trans_amt").alias("s"),
+    total, spend = _spend(df, 1)
+    agg = df.agg(F.count("clietnum").alias("c"), total.alias("s"),
                  F.sum("total_trans_ct").alias("t"), F.count(F.lit(1)).alias("n"),
                  F.count(F.when(_attrited(), F.lit(1))).alias("k"))
     return agg.select(
         (rounded_scaled(F.col("c"), F.lit(1000)).cast("double") / 100).alias("total_customers"),
-        idiv(F.col("s"), F.lit(1000000)).cast("double").alias("total_spend"),
+        (spend.cast("double") / 100).alias("total_spend"),
         (rounded_scaled(idiv(F.col("t"), F.lit(12)), F.lit(1000)).cast("double") / 100)
         .alias("total_trans_mth"),
         percent(F.col("k"), F.col("n")).alias("pct_cust_churned"),
@@ -98,4 +108,4 @@ def between_all(bounds) -> Column:
 
 def churn_cut(df: DataFrame, name: str) -> DataFrame:
     dims, bounds = CHURN_CUTS[name]
-    return churn_rate_by(df, dims, between_all(bounds)).orderBy(F.col("total_customers").desc())
+    return churn_rate_by(df, dims, between_all(bounds)).orderBy(F.col("total_customers").desc_nulls_first())

@@ -40,6 +40,17 @@ def null_rows(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNull())
 
 
+def key_quality(df: DataFrame, key: str = "clietnum") -> DataFrame:
+    """One row: rows, distinct, NULL and repeated values of the key (its uniqueness, tested).
+
+    The key is grouped first (partial aggregation absorbs a hot key), then its groups are counted."""
+    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.col(key).isNotNull()
+    return groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"), F.count(F.when(known, F.lit(1))).alias("distinct_ids"),
+                      F.coalesce(F.sum(F.when(~known, F.col("_n"))), F.lit(0)).alias("null_ids"),
+                      F.coalesce(F.sum(F.when(known, F.col("_n") - 1)), F.lit(0)).alias("repeated_ids"))
+
+
 def null_counts(df: DataFrame, columns=None) -> DataFrame:
     """One row: ``<col>_nulls`` for every column."""
     cols = list(columns or df.columns)
@@ -51,7 +62,7 @@ def duplicate_values(df: DataFrame, column: str, count_name: str = "amount") ->
     """Values of ``column`` that occur more than once, with their counts (NULLs group together)."""
     return (df.groupBy(column).agg(F.count(F.lit(1)).alias(count_name))
             .filter(F.col(count_name) > 1)
-            .orderBy(F.col(count_name).desc()))
+            .orderBy(F.col(count_name).desc_nulls_first()))
 
 
 def sql_type_name(dt: T.DataType) -> str:

@@ -28,14 +28,6 @@ from churnlens.functions.labels import (age_group, churned_flag, combined_fm, se
 from churnlens.operators.quantile import NtileSpec, asc, desc, with_ntiles, with_ntiles_by
 
 
-def _sorted_small(df: DataFrame, *order: Column) -> DataFrame:
-    """Order a report whose size is bounded by the label set (<= 11 segments, <= 25 cells).
-
-    One task sorts it; a global orderBy would add a sampling job for a range shuffle.
-    """
-    return df.coalesce(1).sortWithinPartitions(*order)
-
-
 RECENCY, FREQUENCY, MONETARY, TIE = "months_inactive", "total_trans_ct", "total_trans_amt", "clietnum"
 
 
@@ -46,25 +38,40 @@ def score_specs(k: int = fixed.RFM_BUCKETS, recency: str = RECENCY, frequency: s
             NtileSpec("m", [asc(monetary), asc(tie)], k)]
 
 
+def _marked(scored: DataFrame, k: int, recency: str, frequency: str, monetary: str, tie: str) -> DataFrame:
+    """Notes on the score columns what they were made from, for the reports that follow."""
+    made = {"k": k, "recency": recency, "frequency": frequency, "monetary": monetary, "tie": tie}
+    return scored.withMetadata("r", {"rfm": made})
+
+
+def _made_from(scored: DataFrame, grid: bool = False) -> tuple[str, str, str, str]:
+    """(recency, frequency, monetary, tie) columns of a scored frame; the segment grid needs quintiles."""
+    made = scored.schema["r"].metadata.get("rfm", {})
+    if grid and made.get("k", fixed.RFM_BUCKETS) != fixed.RFM_BUCKETS:
+        raise ValueError(f"segments are defined on {fixed.RFM_BUCKETS} buckets, scores have {made['k']}")
+    return tuple(made.get(x, d) for x, d in (("recency", RECENCY), ("frequency", FREQUENCY), ("monetary", MONETARY), ("tie", TIE)))
+
+
 def rfm_scores(df: DataFrame, k: int = fixed.RFM_BUCKETS, where: Column | None = None, *,
                recency: str = RECENCY, frequency: str = FREQUENCY, monetary: str = MONETARY,
                tie: str = TIE, **tuning) -> DataFrame:
     """Table plus r, f, m scores (rows outside ``where`` are dropped first, as a WHERE)."""
     src = df if where is None else df.filter(where)
-    return with_ntiles(src, score_specs(k, recency, frequency, monetary, tie), **tuning)
+    return _marked(with_ntiles(src, score_specs(k, recency, frequency, monetary, tie), **tuning), k, recency, frequency, monetary, tie)
 
 
 def rfm_scores_by(df: DataFrame, by: str = "gender", k: int = fixed.RFM_BUCKETS, *,
                   recency: str = RECENCY, frequency: str = FREQUENCY, monetary: str = MONETARY,
                   tie: str = TIE, **tuning) -> DataFrame:
     """r, f, m scored within each value of ``by`` (a low-cardinality column)."""
-    return with_ntiles_by(df, by, score_specs(k, recency, frequency, monetary, tie), **tuning)
+    return _marked(with_ntiles_by(df, by, score_specs(k, recency, frequency, monetary, tie), **tuning), k, recency, frequency, monetary, tie)
 
 
 def score_columns(scored: DataFrame) -> DataFrame:
     """The scoring CTE's columns: id, raw recency/frequency/monetary, r, f, m."""
-    return scored.select(TIE, F.col(RECENCY).alias("recency"), F.col(FREQUENCY).alias("frequency"),
-                         F.col(MONETARY).alias("monetary"), "r", "f", "m")
+    recency, frequency, monetary, tie = _made_from(scored)
+    return scored.select(tie, F.col(recency).alias("recency"), F.col(frequency).alias("frequency"),
+                         F.col(monetary).alias("monetary"), "r", "f", "m")
 
 
 def _monthly(col: str) -> Column:
@@ -77,10 +84,11 @@ def segments_frame(scored: DataFrame) -> DataFrame:
 
     Rows with a NULL id drop out here, as they do in the analysis' join on the id.
     """
-    return (scored.filter(F.col(TIE).isNotNull())
-            .withColumn("recency", F.col(RECENCY))
-            .withColumn("frequency_h", _monthly(FREQUENCY))
-            .withColumn("monetary_h", _monthly(MONETARY))
+    recency, frequency, monetary, tie = _made_from(scored, grid=True)
+    return (scored.filter(F.col(tie).isNotNull())
+            .withColumn("recency", F.col(recency))
+            .withColumn("frequency_h", _monthly(frequency))
+            .withColumn("monetary_h", _monthly(monetary))
             .withColumn("frequency", F.col("frequency_h").cast("double") / 100)
             .withColumn("monetary", F.col("monetary_h").cast("double") / 100)
             .withColumn("fm", combined_fm("f", "m"))
@@ -104,8 +112,11 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
     return segments_frame(scored).select(*SEGMENT_COLUMNS)
 
 
-def segment_churn(segs: DataFrame) -> DataFrame:
-    """Per segment: customers, churned customers, churn percentage (0 when none churned)."""
+def segment_churn(segs: DataFrame, row_filter: Column | None = None) -> DataFrame:
+    """Per segment: customers, churned customers, churn percentage (0 when none churned), over the rows
+    that ``row_filter`` keeps."""
+    if row_filter is not None:
+        segs = segs.filter(row_filter)
     return (segs.groupBy("rfm_segment")
             .agg(F.count(F.lit(1)).alias("total_segment"),
                  F.count(F.when(F.col("churned_customers") == 1, F.lit(1))).alias("total_churned"),
@@ -114,7 +125,7 @@ def segment_churn(segs: DataFrame) -> DataFrame:
             .withColumn("churn_rate", F.coalesce(percent(F.col("_k"), F.col("total_segment")),
                                                  F.lit(0.0)))
             .drop("_k")
-            .transform(lambda d: _sorted_small(d, F.col("churn_rate").desc())))
+            .orderBy(F.col("churn_rate").desc_nulls_first()))
 
 
 def rfm_averages(segs: DataFrame) -> DataFrame:
@@ -127,9 +138,8 @@ def rfm_averages(segs: DataFrame) -> DataFrame:
             .agg(exact_avg(F.col("recency"), 0).alias("average_recency"),
                  avg_of_scaled(F.col("frequency_h")).alias("average_frequency"),
                  avg_of_scaled(F.col("monetary_h")).alias("average_monetary"))
-            .transform(lambda d: _sorted_small(d, F.col("average_recency").desc(),
-                                               F.col("average_frequency").asc(),
-                                               F.col("average_monetary").asc())))
+            .orderBy(F.col("average_recency").desc_nulls_first(), F.col("average_frequency").asc_nulls_last(),
+                     F.col("average_monetary").asc_nulls_last()))
 
 
 def _at_risk_churned(segs: DataFrame) -> DataFrame:
@@ -203,9 +213,10 @@ def segment_demographics(segs: DataFrame) -> DataFrame:
 
 def rfm_matrix(scored: DataFrame) -> DataFrame:
     """Churn percentage per (recency score, combined frequency/monetary score) cell."""
-    return (scored.filter(F.col(TIE).isNotNull())
+    tie = _made_from(scored, grid=True)[3]
+    return (scored.filter(F.col(tie).isNotNull())
             .groupBy(F.col("r"), combined_fm("f", "m").alias("fm"))
             .agg(F.count(F.lit(1)).alias("_n"),
                  F.count(F.when(F.col("attrition_flag") == F.lit(fixed.ATTRITED), F.lit(1))).alias("_k"))
             .select("r", "fm", percent(F.col("_k"), F.col("_n")).alias("churned_percent"))
-            .transform(lambda d: _sorted_small(d, F.col("churned_percent").desc())))
+            .orderBy(F.col("churned_percent").desc_nulls_first()))

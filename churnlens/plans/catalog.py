@@ -38,6 +38,14 @@ def null_rows(spark, sf_dir):
     return profile.null_rows(_bc(spark, sf_dir), "avg_utilization_ratio")
 
 
+def null_rows_amt_change(spark, sf_dir):
+    return profile.null_rows(_bc(spark, sf_dir), "total_amt_change_q4_q1")
+
+
+def key_quality(spark, sf_dir):
+    return profile.key_quality(_bc(spark, sf_dir))
+
+
 def column_profile(spark, sf_dir):
     return profile.column_profile(_bc(spark, sf_dir), "bank_churn")
 
@@ -182,6 +190,8 @@ def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "preview_rows": preview_rows,
         "null_rows": null_rows,
+        "null_rows_amt_change": null_rows_amt_change,
+        "key_quality": key_quality,
         "column_profile": column_profile,
         "null_counts": null_counts,
         "duplicate_values": duplicate_values,
@@ -196,6 +206,7 @@ def queries() -> dict[str, Query]:
         q[f"removed_top_percentile_{c}"] = _trim(c, 1)
     q["delete_age_outlier"] = _delete(lambda: F.col("customer_age") == fixed.AGE_OUTLIER, 0)
     q["delete_ct_over"] = _delete(lambda: F.col("total_trans_ct") > fixed.TRANS_CT_LIMIT, 0)
+    q["delete_ct_over_60"] = _delete(lambda: F.col("total_trans_ct") > 60, 0)
     q["delete_zero_ct_change"] = _delete(lambda: F.col("total_ct_change_q4_q1") == 0, 0)
     q["removed_zero_ct_change"] = _delete(lambda: F.col("total_ct_change_q4_q1") == 0, 1)
     q["clean_table"] = clean_table

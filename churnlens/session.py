@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str | None:
 
     Read from the session. Only when it is unset *and* the master is local
     (tests, bench) do we create one under the system temp folder; on a real
-    cluster without the setting we return None and callers stay lazy.
+    cluster without the setting this is None, and what needs the folder says so.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -53,9 +53,9 @@ def shared_dir(spark: SparkSession) -> str | None:
     return None
 
 
-def scratch_path(spark: SparkSession, name: str) -> str | None:
+def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared folder for a materialized table."""
     base = shared_dir(spark)
     if base is None:
-        return None
+        raise RuntimeError("no shared folder: set spark.checkpoint.dir to one that the driver and all executors reach")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")

@@ -168,24 +168,25 @@ _CACHE: dict = {}
 _LOCK = threading.Lock()
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Files of the source tables with their sizes and times: changes when a table is written anew."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for table in ("customer", "nation", "region", "orders", "lineitem"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        out += [(str(x.getPath()), x.getModificationTime(), x.getLen()) for x in path.getFileSystem(conf).listStatus(path)]
+    return tuple(out)
+
+
 def bank_churn(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    """``bank_churn`` for ``sf_dir``; written once per session when a shared folder exists."""
+    """``bank_churn`` for ``sf_dir``, written to the shared folder once per session and state of the source
+    files. ``materialize=False`` gives the derivation itself."""
     if not materialize:
         return derive_bank_churn(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, _stamp(spark, sf_dir))
     with _LOCK:
         path = _CACHE.get(key)
         if path is None:
             path = scratch_path(spark, TABLE)
-            if path is None:  # no shared folder on this cluster: stay lazy
-                return derive_bank_churn(spark, sf_dir)
             derive_bank_churn(spark, sf_dir).write.mode("overwrite").parquet(path)
             _CACHE[key] = path
     return spark.read.schema(SCHEMA).parquet(path)
-
-
-def register(spark: SparkSession, sf_dir: str, name: str = TABLE) -> DataFrame:
-    """Register ``bank_churn`` as a temp view (for SQL users) and return it."""
-    df = bank_churn(spark, sf_dir)
-    df.createOrReplaceTempView(name)
-    return df

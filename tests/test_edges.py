@@ -103,3 +103,32 @@ def test_nulls_fill_top_bucket(spark):
     df = make(spark, rows)
     kept, removed = clean.trim_top_percentile(df, "total_amt_change_q4_q1")
     assert removed.count() == 0  # bucket 100 holds only a NULL
+
+
+@pytest.mark.parametrize("kind,total,month", [("int", "$3.00M", "$0.00M"), ("bigint", "$3.76M", "$0.31M"), ("decimal(14,2)", "$3.76M", "$0.31M")])
+def test_spend_follows_the_column_type(spark, kind, total, month):
+    df = make(spark, [{"total_trans_amt": 3757670}]).withColumn("total_trans_amt", F.col("total_trans_amt").cast(kind))
+    r = churn.kpi_text(df).collect()[0]
+    assert (r.total_spend, r.total_monthly_spend) == (total, month)
+
+
+def test_custom_columns_and_bucket_count(spark):
+    df = make(spark, [{"total_trans_amt": i, "total_revolving_bal": 12 * (10 - i)} for i in range(10)])
+    segs = rfm.segments_frame(rfm.rfm_scores(df, monetary="total_revolving_bal"))
+    assert sorted(r.monetary for r in segs.collect()) == [float(i) for i in range(1, 11)]
+    with pytest.raises(ValueError):
+        rfm.segments_frame(rfm.rfm_scores(df, k=10))
+
+
+def test_row_filter_and_null_order(spark):
+    df = make(spark, [{"gender": "M" if i % 2 else "F", "months_inactive": None if i < 3 else i} for i in range(10)])
+    segs = rfm.segments_frame(rfm.rfm_scores(df))
+    assert sum(r.total_segment for r in rfm.segment_churn(segs, F.col("gender") == "M").collect()) == 5
+    got = [r.average_recency for r in rfm.rfm_averages(segs).collect()]
+    assert got == sorted(got, key=lambda x: (x is not None, -(x or 0)))
+
+
+def test_key_quality(spark):
+    df = make(spark, [{"clietnum": 7}, {"clietnum": 7}, {"clietnum": None}, {"clietnum": None}, {}])
+    r = profile.key_quality(df).collect()[0]
+    assert (r.total_rows, r.distinct_ids, r.null_ids, r.repeated_ids) == (5, 2, 2, 1)

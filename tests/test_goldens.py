@@ -41,7 +41,7 @@ def test_overall_churn(bc):
 def test_kpi_text(bc):
     r = churn.kpi_text(bc).collect()[0]
     assert r.total_customers == "1.50K"
-    assert r.total_spend == "$3.00M"
+    assert r.total_spend == "$3.76M"
 
 
 def test_segment_churn_all(segs):
