@@ -31,6 +31,8 @@ from churnlens.llm import textops as T
 PER_LANGUAGE = 300
 LANDMARKS = 32
 MAX_LANGUAGES = 32
+#: Documents of a language that are ranked for its sample, over the sample's size.
+SPARE = 4
 RIDGE = 1e-2
 #: Rows scored at once.
 ROWS = 256
@@ -134,9 +136,15 @@ def fit(docs: DataFrame, train: Column, text_col: str, lang_col: str, id_col: st
     """The model of a bounded sample: n-gram sets are made in the tasks, at most 270,000 numbers each."""
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     top = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES)
-    names = [r["l"] for r in top.collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    few = (rows.filter(F.col(lang_col).isin(names)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    shares = {r["l"]: min(1.0, SPARE * per_language / r["n"]) for r in top.collect()}
+    if not shares:
+        return None
+    # a share of each language by id hash holds its smallest hashes: only those texts are shuffled
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.col(lang_col))
+    order = Window.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
+    few = (rows.filter(F.col(lang_col).isin(list(shares)) & (place <= share * F.lit(1 << 30)))
+           .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("h"))
            .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
