@@ -169,9 +169,31 @@ def segment_churn_male(spark, sf_dir):
     return rfm.segment_churn(rfm.segments_frame(_scored(spark, sf_dir, F.col("gender") == "M")))
 
 
-def segment_churn_cleaned(spark, sf_dir):
-    cleaned = clean.clean(_bc(spark, sf_dir)).table
-    return rfm.segment_churn(rfm.segments_frame(rfm.rfm_scores(cleaned)))
+# Reports on the table that the cleaning leaves; ``table`` takes one that the caller has cleaned
+# already, so that several reports share one cleaning pass.
+
+def _cleaned_table(spark, sf_dir, table: DataFrame | None) -> DataFrame:
+    return clean_table(spark, sf_dir) if table is None else table
+
+
+def kpi_numeric_cleaned(spark, sf_dir, table: DataFrame | None = None):
+    return churn.kpi_numeric(_cleaned_table(spark, sf_dir, table))
+
+
+def segment_churn_cleaned(spark, sf_dir, table: DataFrame | None = None):
+    return rfm.segment_churn(rfm.segments_frame(rfm.rfm_scores(_cleaned_table(spark, sf_dir, table))))
+
+
+def rfm_averages_cleaned(spark, sf_dir, table: DataFrame | None = None):
+    return rfm.rfm_averages(rfm.segments_frame(rfm.rfm_scores(_cleaned_table(spark, sf_dir, table))))
+
+
+def segment_demographics_cleaned(spark, sf_dir, table: DataFrame | None = None):
+    return rfm.segment_demographics(rfm.segments_frame(rfm.rfm_scores(_cleaned_table(spark, sf_dir, table))))
+
+
+def rfm_matrix_cleaned(spark, sf_dir, table: DataFrame | None = None):
+    return rfm.rfm_matrix(rfm.rfm_scores(_cleaned_table(spark, sf_dir, table)))
 
 
 def rfm_averages(spark, sf_dir):
@@ -230,5 +252,9 @@ def queries() -> dict[str, Query]:
         "rfm_averages": rfm_averages,
         "segment_demographics": segment_demographics,
         "rfm_matrix": rfm_matrix,
+        "kpi_numeric_cleaned": kpi_numeric_cleaned,
+        "rfm_averages_cleaned": rfm_averages_cleaned,
+        "segment_demographics_cleaned": segment_demographics_cleaned,
+        "rfm_matrix_cleaned": rfm_matrix_cleaned,
     })
     return q
