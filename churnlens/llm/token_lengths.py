@@ -49,7 +49,10 @@ def length_histogram(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
 
 def length_answers(histogram: DataFrame) -> DataFrame:
     """Per length: n_docs, docs_from and tokens_from (at least as long), truncated_tokens (all documents cut
-    there), quantile (share of documents at most as long)."""
+    there), quantile (share of documents at most as long).
+
+    The histogram (a row per length) is checkpointed: both steps of the sums read it, texts are encoded once."""
+    histogram = histogram.checkpoint()
     rows = histogram.withColumn("g", F.floor(F.col("length") / GROUP)).withColumn("t", F.col("length") * F.col("n_docs"))
     groups = rows.groupBy("g").agg(F.sum("n_docs").alias("gn"), F.sum("t").alias("gt"))
     after = Window.orderBy(F.desc("g")).rowsBetween(Window.unboundedPreceding, -1)
