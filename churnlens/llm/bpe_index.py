@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,17 @@ from churnlens.llm import textops as T
 
 #: The pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points that the pattern engine here takes for letters or digits and the tokenizers library,
+#: whose tables are those of Unicode 16, for neither. First and last of each run, in hexadecimal.
+LATER_CHARACTERS = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959
+10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3
+16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6
+1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4
+1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+#: A code point that no table gives a class.
+UNCLASSED = "\u0378"
 #: Distinct pre-tokens kept per task before the table starts anew.
 KEPT_TYPES = 400_000
 BLOCK_BYTES = 1 << 20
@@ -139,12 +151,24 @@ def merge_all(vocabulary: Vocabulary, tokens: list[bytes]) -> tuple[np.ndarray,
     return out[alive], np.bincount(word[alive], minlength=len(tokens))
 
 
+def later_characters() -> tuple[str, str]:
+    """LATER_CHARACTERS as a pattern, and a quicker one that finds them and more: one run for each plane beyond the first."""
+    pairs = [(chr(int(lo, 16)), chr(int(hi or lo, 16))) for lo, _, hi in (x.partition("-") for x in LATER_CHARACTERS.split())]
+    planes: dict[int, list] = {}
+    for lo, hi in pairs:
+        planes.setdefault(ord(lo) >> 16, []).append((lo, hi))
+    coarse = planes.pop(0, []) + [(runs[0][0], runs[-1][1]) for runs in planes.values()]
+    exact, quick = ("[" + "".join(f"{lo}-{hi}" for lo, hi in runs) + "]" for runs in (pairs, coarse))
+    return exact, quick
+
+
 class Encoder:
     """Encodes blocks of texts; keeps the distinct pre-tokens of a task."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.find = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
+        self.later, self.maybe_later = map(re.compile, later_characters())
         self.split = regex.compile("|".join(regex.escape(s) for s, _ in vocabulary.special)) if vocabulary.special else None
         self._clear()
 
@@ -155,6 +179,12 @@ class Encoder:
             self.index[(s,)]
         self.lengths = np.ones(len(self.v.special), np.int64)
 
+    def find(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens."""
+        if text.isascii() or not self.maybe_later.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start(): m.end()] for m in self.pattern.finditer(self.later.sub(UNCLASSED, text))]
+
     def _pre_tokens(self, text: str) -> list:
         if self.split is None or not self.split.search(text):
             return self.find(text)

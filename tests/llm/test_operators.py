@@ -151,6 +151,7 @@ def test_bpe_matches_library(small, tokenizer):
 def test_bpe_on_every_kind_of_character(tokenizer):
     coder = bpe_index.Encoder(bpe_index.Vocabulary(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()))
     texts = ["".join(chr(c) + "a" for c in range(lo, lo + 512) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x3400, 512)]
+    texts += ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}" for c in range(lo, lo + 4096) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x110000, 4096)]
     texts += ["aaaaaaaaaaaaaaa", "  \n\n  x   y", "I'll you'Re 12ab", "😀😀 é"]
     ids, counts = coder.encode(texts)
     ends = np.cumsum(counts)
