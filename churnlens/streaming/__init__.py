@@ -1,6 +1 @@
-"""Streaming: none of the analysis is a stream (no watermarks, windows or state).
-
-The per-group churn aggregate in :func:`churnlens.operators.churn.churn_rate_by`
-is a plain ``groupBy().agg()``, so it also runs unchanged on a streaming
-DataFrame of customer rows (complete output mode); nothing else is planned.
-"""
+"""Streaming: none of the analysis is a stream (no watermarks, windows or state)."""
