@@ -15,15 +15,6 @@ EXISTING = "Existing Customer"
 
 GENDERS = ("M", "F")
 
-INCOME_CATEGORIES = (
-    "Less than $40K",
-    "$40K - $60K",
-    "$60K - $80K",
-    "$80K - $120K",
-    "$120K +",
-    "Unknown",
-)
-
 EDUCATION_LEVELS = (
     "Uneducated",
     "High School",
