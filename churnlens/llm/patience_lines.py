@@ -1,12 +1,14 @@
 """Line dedup by pairwise alignment of documents.
 
-1. Every document becomes the list of its line hashes. For each line hash that
-   several documents have, the first document that has it is its holder.
-2. A document is paired with the holders of its lines: at most one partner per
-   line, however many documents share it, so copies by the thousand make as
-   many pairs as rows. Lines are rare if at most ``RARE`` documents have them;
-   a pair needs a rare line, or (for groups of copies, none of whose lines is
-   rare) a line of at least ``MIN_WORDS`` words.
+1. Every document becomes the list of its line hashes. Its runs are the
+   shortest stretches of consecutive lines (blank ones aside) of at least
+   ``MIN_WORDS`` words, from every line onward and from every line backward: they
+   cover every block of that many words, and a block that two documents have
+   is covered by runs that both have. The first document that has a run is
+   its holder.
+2. A document is paired with the holders of its runs: one partner per run,
+   however many documents share it or its lines, so copies by the thousand make
+   at most as many pairs as rows.
 3. Pairs are aligned with patience diff on the line hashes: lines that occur
    once in both documents, in the longest increasing order, are anchors; the
    stretches between anchors are aligned the same way, and matches grow into
@@ -36,8 +38,10 @@ from pyspark.sql import functions as F
 
 from churnlens.llm import textops as T
 
+#: Lines in at most so many documents are rare. It limits nothing: pairs come from runs, whatever their number of documents.
 RARE = 100
 MIN_WORDS = 8
+_RUN_BASE = 0xA0761D6478BD642F
 
 
 def line_keys(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -64,6 +68,40 @@ def line_keys(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     return (pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(words, pa.int32())))
 
 
+def run_spans(words: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of at least min_words words, from every line onward and backward.
+
+    ``words`` are the words of the lines that are not blank, ``ends`` where the documents end."""
+    n = len(words)
+    total = np.concatenate([[0], np.cumsum(words)])
+    sizes = np.diff(np.concatenate([[0], ends]))
+    low, high = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
+    onward = np.searchsorted(total, total[:-1] + min_words, "left")
+    backward = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    at = np.arange(n)
+    fits, back = onward <= high, backward >= low
+    return np.concatenate([at[fits], backward[back]]), np.concatenate([onward[fits], at[back] + 1])
+
+
+def run_keys(keys: pa.Array, words: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document number and hash of the distinct runs of every document, from its line hashes and words."""
+    sizes = np.diff(keys.offsets.to_numpy().astype(np.int64))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    key, count = keys.flatten().to_numpy().view(np.uint64), words.flatten().to_numpy().astype(np.int64)
+    solid = key != 0
+    doc, key, count = doc[solid], key[solid], count[solid]
+    s, e = run_spans(count, np.cumsum(np.bincount(doc, minlength=len(sizes))), min_words)
+    if not len(s):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.zeros(len(key) + 1, np.uint64)
+    np.cumsum(T.mix(key.copy()) * T.powers(_RUN_BASE, len(key)), out=total[1:])
+    made = T.mix((total[e] - total[s]) * T.inverse_powers(_RUN_BASE, len(key) + 1)[s] + (e - s).astype(np.uint64)).view(np.int64)
+    order = np.lexsort((made, doc[s]))
+    of, made = doc[s][order], made[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (made[1:] != made[:-1])])
+    return of[new], made[new]
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence (by first) whose seconds increase."""
     tops: list[int] = []
@@ -142,16 +180,19 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return made.groupBy("late", "id", "rid").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """late, id, rid, gone: the line numbers to delete, for documents that lose any."""
     rows = _rows(docs, id_col, text_col).checkpoint()
     me = F.struct("late", "id", "rid")
-    lines = (rows.select(me.alias("doc"), F.explode(F.arrays_zip("keys", "words")).alias("l"))
-             .select("doc", F.col("l.keys").alias("key"), F.col("l.words").alias("w")).filter("key <> 0")
-             .groupBy("doc", "key").agg(F.first("w").alias("w")))
-    shared = lines.groupBy("key").agg(F.min("doc").alias("holder"), F.count(F.lit(1)).alias("df")).filter("df >= 2")
-    useful = (F.col("df") <= rare) | (F.col("w") >= min_words)
-    pairs = (lines.join(shared, "key").filter(useful & (F.col("holder") < F.col("doc"))).select("doc", "holder").distinct())
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, made = run_keys(batch.column("keys"), batch.column("words"), min_words)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(of)) for c in ("late", "id", "rid")] + [pa.array(made)], names=["late", "id", "rid", "run"])
+
+    runs = rows.mapInArrow(spread, "late boolean, id long, rid long, run long").select(me.alias("doc"), "run")
+    holders = runs.groupBy("run").agg(F.min("doc").alias("holder"), F.count(F.lit(1)).alias("df")).filter("df >= 2").drop("df")
+    pairs = runs.join(holders, "run").filter(F.col("holder") < F.col("doc")).select("doc", "holder").distinct()
     named = rows.select(me.alias("doc"), "keys", "words")
     both = (pairs.join(named, "doc").join(named.select(F.col("doc").alias("holder"), F.col("keys").alias("theirs")), "holder")
             .select("doc", "keys", "words", "theirs"))
@@ -165,9 +206,9 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     return found.groupBy("late", "id", "rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def without_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def without_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their columns, the deleted lines gone from the text; with _l_lines and _l_removed."""
-    gone = deletions(docs, id_col, text_col, rare, min_words).select(
+    gone = deletions(docs, id_col, text_col, min_words).select(
         F.col("late").alias("_l_late"), F.col("id").alias("_l_id"), F.col("rid").alias("_l_rid"), F.col("gone").alias("_l_gone"))
     text = F.col(f"`{text_col}`")
     on = ((F.col(id_col).isNull() == F.col("_l_late")) & (F.coalesce(F.col(id_col).cast("long"), F.lit(0)) == F.col("_l_id")) & (F.xxhash64(text) == F.col("_l_rid")))

@@ -411,6 +411,19 @@ def test_patience_alignment_is_a_common_subsequence(seed):
     assert [j for _, j in patience_lines.aligned(a, a)] == [i for i, x in enumerate(a) if x] or 0 in a
 
 
+def removed_lines(out):
+    return {r["doc_id"]: (r["_l_removed"], r["text"]) for r in out.collect()}
+
+
+def test_frequent_blocks_of_short_lines(spark):
+    catalog.ready(spark)
+    block = "one two three four five six\nseven eight nine"
+    n = patience_lines.RARE + 20
+    docs = [(i, f"only {i} here\n{block}\nand {i} again") for i in range(n)]
+    got = removed_lines(patience_lines.without_common_blocks(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == {i: (0, docs[i][1]) if i == 0 else (2, f"only {i} here\nand {i} again") for i in range(n)}
+
+
 # -- all ----------------------------------------------------------------------
 
 def test_empty_tables(spark, empty):
