@@ -13,8 +13,12 @@
    once in both documents, in the longest increasing order, are anchors; the
    stretches between anchors are aligned the same way, and matches grow into
    the blocks that both have. A block counts if it has at least ``MIN_WORDS``
-   words.
-4. The lines of aligned blocks are deleted from the later document.
+   words. The runs of the later document that the alignment leaves although
+   its partner has them (blocks in another order, further copies of a block,
+   stretches without a line that is unique in both) are matched one by one.
+4. The lines of matched blocks are deleted from the later document. Together, a
+   line goes if it stands in a block of ``MIN_WORDS`` words that some
+   earlier document has.
 
 Documents are judged on the input, so the order of pairs does not matter.
 "Later" is by doc_id, then by a hash of the text.
@@ -152,7 +156,9 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_lines(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """The lines of b in aligned blocks (consecutive in both, blank lines aside) of at least min_words words."""
+    """The lines of b in blocks that a has (consecutive in both, blank lines aside) of at least min_words words.
+
+    Blocks are aligned; what the alignment leaves is looked up run by run."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -164,6 +170,26 @@ def common_lines(a: list[int], b: list[int], words: list[int], min_words: int) -
             block = []
         block.append(j)
         last = (i, j)
+    return sorted({*out, *_left_over(a, b, words, min_words, set(out))})
+
+
+def _left_over(a: list[int], b: list[int], words: list[int], min_words: int, gone: set[int]) -> set[int]:
+    """The lines of b in runs that a has and that are not gone as a whole."""
+    places = [j for j, x in enumerate(b) if x]
+    if len(gone) == len(places):
+        return set()
+    starts, ends = run_spans(np.array([words[j] for j in places], np.int64), np.array([len(places)]), min_words)
+    solid = [x for x in a if x]
+    have: dict[int, set] = {}
+    out: set[int] = set()
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        run = places[s:e]
+        if gone.issuperset(run):
+            continue
+        if e - s not in have:
+            have[e - s] = {tuple(solid[i: i + e - s]) for i in range(len(solid) - (e - s) + 1)}
+        if tuple(b[j] for j in run) in have[e - s]:
+            out.update(run)
     return out
 
 

@@ -424,6 +424,36 @@ def test_frequent_blocks_of_short_lines(spark):
     assert got == {i: (0, docs[i][1]) if i == 0 else (2, f"only {i} here\nand {i} again") for i in range(n)}
 
 
+def blocks_of_earlier_documents(texts, min_words):
+    """Every line in a block of min_words words (blank lines aside) that some earlier text has, by brute force."""
+    solid = [[(j, x) for j, x in enumerate(t.split("\n")) if x] for t in texts]
+    out = []
+    for k, mine in enumerate(solid):
+        gone = set()
+        for s in range(len(mine)):
+            for e in range(s + 1, len(mine) + 1):
+                part = [x for _, x in mine[s:e]]
+                if sum(len(x.split()) for x in part) >= min_words and any(
+                        [x for _, x in theirs[i:i + e - s]] == part for theirs in solid[:k] for i in range(len(theirs) - (e - s) + 1)):
+                    gone |= {j for j, _ in mine[s:e]}
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_against_all_earlier_documents(spark, seed):
+    catalog.ready(spark)
+    rng = random.Random(seed)
+    lines = [" ".join(f"x{i}" for _ in range(rng.randint(1, 10))) for i in range(12)]
+    texts = ["\n".join(rng.choice([*lines, *lines, f"own {k} {i}", ""]) for i in range(rng.randrange(14))) for k in range(40)]
+    block = "a b c\nd e f\ng h i"
+    texts += [f"{block}\nfirst\nj k l m\nn o p q", f"second\nj k l m\nn o p q\n{block}"]  # the same blocks in another order
+    got = removed_lines(patience_lines.without_common_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    want = blocks_of_earlier_documents(texts, patience_lines.MIN_WORDS)
+    assert got == {k: (len(gone), "\n".join(x for j, x in enumerate(texts[k].split("\n")) if j not in gone)) for k, gone in enumerate(want)}
+    assert want[-1] == {1, 2, 3, 4, 5}
+
+
 # -- all ----------------------------------------------------------------------
 
 def test_empty_tables(spark, empty):
