@@ -454,6 +454,14 @@ def test_line_dedup_against_all_earlier_documents(spark, seed):
     assert want[-1] == {1, 2, 3, 4, 5}
 
 
+def test_further_copies_of_a_block_go(spark):
+    catalog.ready(spark)
+    passage = "one two three four five\nsix seven eight nine ten"
+    texts = [f"start\n{passage}\nend", f"x\n{passage}\ny\n{passage}\nz", f"u\n{passage}\n{passage}\nv\n\n{passage}\nw"]
+    got = removed_lines(patience_lines.without_common_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert got == {0: (0, texts[0]), 1: (4, "x\ny\nz"), 2: (6, "u\nv\n\nw")}
+
+
 # -- all ----------------------------------------------------------------------
 
 def test_empty_tables(spark, empty):
