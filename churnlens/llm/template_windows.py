@@ -5,10 +5,14 @@ Texts become templates: tokens are runs of letters, digits and bytes above
 capitalised token inside a sentence <name>, and a unit after a number <unit>.
 Windows of ``window`` tokens of the benchmark's templates are hash-joined with
 the windows of every document. A match counts only if its slots are
-consistent: inside one item, a benchmark value always stands for the same
-value of the document and the other way round (a re-parameterised question
-renames its values, it does not mix them). A document is contaminated if
-enough windows of one item match.
+consistent: inside one item, a benchmark name always stands for the same
+name of the document and the other way round, and the number or unit at a
+place of the item always for the same one (a re-parameterised question renames
+its values, it does not mix them). Every aligned occurrence of an item in a text
+(windows at one distance of place and item position, from each conflict on anew)
+is a binding of its own, to which the other windows that fit it are added; the
+best binding counts. A document is contaminated if enough windows of one item
+match.
 
 The benchmark is the query set: it goes to the tasks in blocks of at most
 ``BLOCK_TOKENS`` tokens, each block a broadcast of checked size; a larger
@@ -159,29 +163,71 @@ class Block:
         pair, text, item = pair[order], text[order], item[order]
         new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
         for a, b in zip(new, [*new[1:], len(pair)]):
-            yield int(text[a]), int(item[a]), self._consistent(pair[a:b], value, slot)
+            yield int(text[a]), int(item[a]), self._consistent(pair[a:b], value)
 
-    def _consistent(self, pairs: np.ndarray, value: np.ndarray, slot: np.ndarray) -> int:
-        """Distinct windows of the item whose slot values fit those of the windows before."""
-        there: dict[tuple[int, int], int] = {}
-        back: dict[tuple[int, int], int] = {}
-        good = set()
+    def _consistent(self, pairs: np.ndarray, value: np.ndarray) -> int:
+        """Most distinct windows of the item whose slot values fit one binding."""
+        # per match: the window's place in the item, its distance, and what its slots bind
+        seen: dict[tuple, None] = {}
         for place, row in pairs.tolist():
             at, width = int(self.at[row]), int(self.size[row])
-            slots = np.flatnonzero(slot[place: place + width])
-            fresh, fits = [], True
-            for j in slots.tolist():
-                kind = int(slot[place + j])
-                ours, theirs = int(self.value[at + j]), int(value[place + j])
-                if there.get((kind, ours), theirs) != theirs or back.get((kind, theirs), ours) != ours:
-                    fits = False
-                    break
-                fresh.append((kind, ours, theirs))
-            if fits:
-                for kind, ours, theirs in fresh:
-                    there[kind, ours], back[kind, theirs] = theirs, ours
-                good.add(at)
-        return len(good)
+            binds = []
+            for j in np.flatnonzero(self.slot[at: at + width]).tolist():
+                kind, ours, theirs = int(self.slot[at + j]), int(self.value[at + j]), int(value[place + j])
+                binds.append(((kind, ours if kind == NAME else at + j), theirs))
+            seen[place - at, at, tuple(binds)] = None
+        matches = list(seen)
+        every = len({at for _, at, _ in matches})
+        lines: dict[int, list] = {}
+        for distance, at, binds in matches:
+            lines.setdefault(distance, []).append((at, binds))
+        seeds: dict[tuple, None] = {}
+        for line in lines.values():
+            binding = _Binding()
+            group: list = []
+            for at, binds in line:
+                if not binding.add(at, binds):
+                    seeds[tuple(group)] = None
+                    binding, group = _Binding(), []
+                    if not binding.add(at, binds):
+                        continue
+                group.append((at, binds))
+            seeds[tuple(group)] = None
+        distinct = list(dict.fromkeys((at, binds) for _, at, binds in matches))
+        best = 0
+        for group in sorted(seeds, key=len, reverse=True):
+            binding = _Binding()
+            for at, binds in [*group, *distinct]:
+                if at not in binding.good:
+                    binding.add(at, binds)
+            best = max(best, len(binding.good))
+            if best == every:
+                break
+        return best
+
+
+class _Binding:
+    """Which value of the document stands for which slot of the item. Names are bound one to one."""
+
+    def __init__(self):
+        self.there: dict[tuple, int] = {}
+        self.back: dict[int, tuple] = {}
+        self.good: set[int] = set()
+
+    def add(self, at: int, binds: tuple) -> bool:
+        """Adds the window at a place of the item if its slots fit those of the windows before, and each other."""
+        fresh: dict[tuple, int] = {}
+        named: dict[int, tuple] = {}
+        for ours, theirs in binds:
+            if self.there.get(ours, theirs) != theirs or fresh.get(ours, theirs) != theirs:
+                return False
+            if ours[0] == NAME and (self.back.get(theirs, ours) != ours or named.setdefault(theirs, ours) != ours):
+                return False
+            fresh[ours] = theirs
+        self.there |= fresh
+        self.back |= named
+        self.good.add(at)
+        return True
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, min_literals: int) -> list[Block]:

@@ -356,6 +356,30 @@ def test_decontamination_finds_passages_as_they_stand(spark):
         assert got[r["doc_id"]] == any(tuple(w[i:i + 12]) in bench for i in range(len(w) - 11))
 
 
+def windows_found(spark, item, *texts):
+    """(contaminated, windows) of each text, for one benchmark item."""
+    catalog.ready(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = template_windows.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    return [(r["contaminated"], r["n_windows"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_slots_are_bound_per_occurrence(spark):
+    item = "Last year Anna sold 12 crates of apples to Bert for 3.50 dollars each, and Anna kept 4 kg of pears."
+    alike = "Last year Otto sold 75 crates of apples."
+    variants = " ".join(item.replace("Anna", a).replace("12", n) for a, n in (("Otto", "5"), ("Maria", "6"), ("Ida", "7")))
+    whole = windows_found(spark, item, item)[0]
+    assert whole[0] and windows_found(spark, item, f"{alike} {item}", f"{item} {alike}", f"{alike} {variants}") == [whole] * 3
+    # a word more in the middle parts the occurrence in two, which fit one binding
+    split = item.replace("dollars each", "dollars for each")
+    mixed = item.replace("and Anna", "and Otto")
+    got = windows_found(spark, item, split, f"{alike} {mixed}")
+    assert got[0][1] > 0 and got[0][1] == windows_found(spark, item, f"{alike} {split}")[0][1] and got[1][1] < whole[1]
+    again = "We bought 2 pears and 2 plums at the market, and then we ate them all."
+    n = windows_found(spark, again, again, again.replace("2 pears", "3 pears").replace("2 plums", "4 plums"))
+    assert n[0] == n[1] and n[0][0]
+
+
 # -- 1 ----------------------------------------------------------------------
 
 def brute_lines(rows):
