@@ -3,6 +3,9 @@
 Texts become templates: tokens are runs of letters, digits and bytes above
 127, lower-cased; a token that begins with a digit becomes <number>, a
 capitalised token inside a sentence <name>, and a unit after a number <unit>.
+A second template masks every capitalised token, so names that open a sentence
+match too. Besides, windows of equal lower-cased tokens match as they stand, in
+whatever case and however few plain tokens they have.
 Windows of ``window`` tokens of the benchmark's templates are hash-joined with
 the windows of every document. A match counts only if its slots are
 consistent: inside one item, a benchmark name always stands for the same
@@ -12,7 +15,8 @@ its values, it does not mix them). Every aligned occurrence of an item in a text
 (windows at one distance of place and item position, from each conflict on anew)
 is a binding of its own, to which the other windows that fit it are added; the
 best binding counts. A document is contaminated if enough windows of one item
-match.
+match, or enough of those that have ``min_literals`` plain tokens; the latter are
+the number reported, if there are any.
 
 The benchmark is the query set: it goes to the tasks in blocks of at most
 ``BLOCK_TOKENS`` tokens, each block a broadcast of checked size; a larger
@@ -20,7 +24,7 @@ benchmark takes more passes over the batch, not a larger broadcast. Documents
 are not shuffled.
 
 Defined results: null or empty documents match nothing; an item without
-``min_literals`` plain tokens in any window is never matched; an item shorter
+``min_literals`` plain tokens in any window matches only as it stands; an item shorter
 than a window is one window of its own length. Rows are judged one by one, so
 repeated rows agree. Empty tables: empty result, or nothing contaminated.
 """
@@ -58,6 +62,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"): ord("Z") + 1] += 32
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n:"]] = True
+#: Kinds of windows: names inside a sentence masked, every capitalised token masked, tokens as they stand.
+INSIDE, CAPITALS, EXACT = 0, 1, 2
 _SLOT_HASH = np.array([0, 0x9AE16A3B2F90404F, 0xB492B66FBE98F273, 0xC3A5C85C97CB3127], np.uint64)
 
 
@@ -71,11 +77,11 @@ _UNIT_HASHES = _hash_words(UNITS)
 
 
 def templates(buf: np.ndarray, offsets: np.ndarray):
-    """(value hash, template hash, slot kind) of all tokens, and tokens per text."""
+    """Value hashes of all tokens, their slot kinds (names inside a sentence; all capitalised tokens), and tokens per text."""
     n_docs = len(offsets) - 1
     if not len(buf):
         none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.uint8), np.zeros(n_docs, np.int64)
+        return none, [np.zeros(0, np.uint8)] * 2, np.zeros(n_docs, np.int64)
     kind = _CLASS[buf]
     # a point or comma between digits belongs to the number
     joint = ((buf == ord(".")) | (buf == ord(",")))
@@ -106,7 +112,12 @@ def templates(buf: np.ndarray, offsets: np.ndarray):
     after_number[1:] = slot[:-1] == NUMBER
     after_number[first] = False
     slot[after_number & _member(value)] = UNIT
-    return value, np.where(slot > 0, _SLOT_HASH[slot], value), slot, counts
+    return value, [slot, np.where(capital & (slot == 0), NAME, slot).astype(np.uint8)], counts
+
+
+def masked(value: np.ndarray, slots: list[np.ndarray], way: int) -> np.ndarray:
+    """The token hashes of a kind of windows."""
+    return value if way == EXACT else np.where(slots[way] > 0, _SLOT_HASH[slots[way]], value)
 
 
 def _member(value: np.ndarray) -> np.ndarray:
@@ -120,41 +131,58 @@ class Block:
     def __init__(self, items: list[tuple[int, bytes]], window: int, min_literals: int):
         buf = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
-        self.value, template, self.slot, counts = templates(buf, offsets)
+        self.value, self.slots, counts = templates(buf, offsets)
         begins = np.cumsum(counts) - counts
-        hashes, item, at, size = [], [], [], []
-        self.total = np.zeros(len(items), np.int64)
-        for width in sorted({min(window, int(c)) for c in counts if c}):
-            h = T.sequence_hashes(template, width)
-            literal = np.convolve(self.slot == 0, np.ones(width, int), "valid")
-            for i, (b, c) in enumerate(zip(begins, counts)):
-                if c and min(window, c) == width:
-                    places = np.arange(b, b + c - width + 1)
-                    places = places[literal[places] >= min(min_literals, width)]
-                    self.total[i] = len(places)
-                    hashes.append(h[places])
-                    at.append(places)
-                    item.append(np.full(len(places), i))
-                    size.append(np.full(len(places), width))
+        hashes, item, at, size, way = [], [], [], [], []
+        plain = np.zeros(len(self.value), bool)
+        #: Windows of every item with enough plain tokens, and all its windows.
+        self.total, self.all = np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+        for kind in (INSIDE, CAPITALS, EXACT):
+            tokens = masked(self.value, self.slots, kind)
+            for width in sorted({min(window, int(c)) for c in counts if c}):
+                h = T.sequence_hashes(tokens, width)
+                if kind == EXACT:
+                    use = np.ones(len(h), bool)
+                else:
+                    use = np.convolve(self.slots[kind] == 0, np.ones(width, int), "valid") >= min(min_literals, width)
+                if kind == CAPITALS:  # without a capitalised token it is the window of the other template
+                    use &= np.convolve(self.slots[kind] == NAME, np.ones(width, int), "valid") > 0
+                for i, (b, c) in enumerate(zip(begins, counts)):
+                    if c and min(window, c) == width:
+                        places = np.arange(b, b + c - width + 1)
+                        self.all[i] = len(places)
+                        places = places[use[places]]
+                        if kind == INSIDE:
+                            self.total[i] = len(places)
+                            plain[places] = True
+                        hashes.append(h[places])
+                        at.append(places)
+                        item.append(np.full(len(places), i))
+                        size.append(np.full(len(places), width))
+                        way.append(np.full(len(places), kind))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         order = np.argsort(join(hashes, np.uint64), kind="stable")
-        self.hash, self.item, self.at, self.size = (join(x, k)[order] for x, k in ((hashes, np.uint64), (item, np.int64), (at, np.int64), (size, np.int64)))
+        self.hash = join(hashes, np.uint64)[order]
+        self.item, self.at, self.size, self.way = (join(x, np.int64)[order] for x in (item, at, size, way))
+        self.plain = plain[self.at]
         self.ids = [i for i, _ in items]
         self.widths = sorted(set(self.size.tolist()))
 
-    def matches(self, value, template, slot, counts) -> Iterator[tuple[int, int, int]]:
-        """(text, item, matched windows of the item with consistent slots)."""
+    def matches(self, value, slots, counts) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, matched windows of the item with consistent slots, those of them with enough plain tokens)."""
         text_of = np.repeat(np.arange(len(counts)), counts)
         found = []
+        ways = [(kind, masked(value, slots, kind)) for kind in (INSIDE, CAPITALS, EXACT)]
         for width in self.widths:
-            mine = self.size == width
-            hashes, rows = self.hash[mine], np.flatnonzero(mine)
             places = T.starts_within(counts, width)
-            got = T.sequence_hashes(template, width)[places] if len(places) else np.zeros(0, np.uint64)
-            lo, hi = np.searchsorted(hashes, got, "left"), np.searchsorted(hashes, got, "right")
-            hit = np.flatnonzero(hi > lo)
-            n = (hi - lo)[hit]
-            found.append(np.stack([np.repeat(places[hit], n), rows[T.ragged(lo[hit], n)]], axis=1))
+            for kind, tokens in ways:
+                rows = np.flatnonzero((self.size == width) & (self.way == kind))
+                hashes = self.hash[rows]
+                got = T.sequence_hashes(tokens, width)[places] if len(places) else np.zeros(0, np.uint64)
+                lo, hi = np.searchsorted(hashes, got, "left"), np.searchsorted(hashes, got, "right")
+                hit = np.flatnonzero(hi > lo)
+                n = (hi - lo)[hit]
+                found.append(np.stack([np.repeat(places[hit], n), rows[T.ragged(lo[hit], n)]], axis=1))
         if not found or not sum(map(len, found)):
             return
         pair = np.concatenate(found)
@@ -163,17 +191,24 @@ class Block:
         pair, text, item = pair[order], text[order], item[order]
         new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
         for a, b in zip(new, [*new[1:], len(pair)]):
-            yield int(text[a]), int(item[a]), self._consistent(pair[a:b], value)
+            mine, i = pair[a:b], int(item[a])
+            n = self._consistent(mine, value)
+            if self.total[i] < self.all[i]:
+                yield int(text[a]), i, n, self._consistent(mine[self.plain[mine[:, 1]]], value)
+            else:
+                yield int(text[a]), i, n, n
 
     def _consistent(self, pairs: np.ndarray, value: np.ndarray) -> int:
         """Most distinct windows of the item whose slot values fit one binding."""
+        if not len(pairs):
+            return 0
         # per match: the window's place in the item, its distance, and what its slots bind
         seen: dict[tuple, None] = {}
         for place, row in pairs.tolist():
             at, width = int(self.at[row]), int(self.size[row])
-            binds = []
-            for j in np.flatnonzero(self.slot[at: at + width]).tolist():
-                kind, ours, theirs = int(self.slot[at + j]), int(self.value[at + j]), int(value[place + j])
+            binds, slot = [], self.slots[self.way[row] % EXACT]
+            for j in np.flatnonzero(slot[at: at + width]).tolist():
+                kind, ours, theirs = int(slot[at + j]), int(self.value[at + j]), int(value[place + j])
                 binds.append(((kind, ours if kind == NAME else at + j), theirs))
             seen[place - at, at, tuple(binds)] = None
         matches = list(seen)
@@ -258,9 +293,9 @@ def marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
             for lo, hi in T.blocks(offsets, T.BLOCK):
                 made = templates(buf[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
                 for b in blocks:
-                    for text, item, n in b.value.matches(*made):
-                        most[lo + text] = max(most[lo + text], n)
-                        if n and n >= min(min_windows, b.value.total[item]):
+                    for text, item, n, n_plain in b.value.matches(*made):
+                        most[lo + text] = max(most[lo + text], n_plain or n)
+                        if n >= min(min_windows, b.value.all[item]) or n_plain and n_plain >= min(min_windows, b.value.total[item]):
                             items[lo + text].add(b.value.ids[item])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keep))] + [pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(most), pa.array([bool(x) for x in items], pa.bool_())],

@@ -380,6 +380,16 @@ def test_slots_are_bound_per_occurrence(spark):
     assert n[0] == n[1] and n[0][0]
 
 
+def test_windows_of_any_case_and_names_that_open_sentences(spark):
+    item = "Last year Anna sold 12 crates of apples to Bert for 3.50 dollars each, and Anna kept 4 kg of pears."
+    got = windows_found(spark, item, item, item.lower(), item.upper(), item.title(), f"intro {item.lower()} end")
+    assert got == [(True, 13)] * 5
+    item = "Tom has 3 apples. Ann has 5 apples. How many apples do they have?"
+    fresh = item.replace("Tom", "Lee").replace("Ann", "Kim").replace("3", "7").replace("5", "9")
+    assert windows_found(spark, item, item, fresh, f"Now Lee{fresh[3:]}") == [(True, 7)] * 3
+    assert windows_found(spark, "What is 12 * 7 + 3?", "Q: what is 12 * 7 + 3?", "What is 12 * 8 + 3?") == [(True, 1), (False, 0)]
+
+
 # -- 1 ----------------------------------------------------------------------
 
 def brute_lines(rows):
