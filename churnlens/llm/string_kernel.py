@@ -8,9 +8,10 @@ against the rest is solved there. Scoring a batch is two matrix products:
 presence rows x landmark presences, then kernels x weights.
 
 The model is fitted on a bounded sample, ``per_language`` training documents a
-language (those of the smallest id hash) of the ``MAX_LANGUAGES`` most
-frequent languages; it is a few MB whatever the corpus, and broadcast. All
-documents are scored.
+language (those of the smallest id hash) of every language. Beyond ``FULL``
+languages each has a smaller sample and fewer landmarks, so that the model
+stays a few MB, whatever the corpus, and is broadcast; no language is left out.
+All documents are scored.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 so is everything if there is no training document. Ties go to the language
@@ -30,7 +31,8 @@ from churnlens.llm import textops as T
 
 PER_LANGUAGE = 300
 LANDMARKS = 32
-MAX_LANGUAGES = 32
+#: With more languages than this, samples and landmarks of a language shrink in proportion.
+FULL = 32
 #: Documents of a language that are ranked for its sample, over the sample's size.
 SPARE = 4
 RIDGE = 1e-2
@@ -135,10 +137,12 @@ class Model:
 def fit(docs: DataFrame, train: Column, text_col: str, lang_col: str, id_col: str, per_language: int) -> Model | None:
     """The model of a bounded sample: n-gram sets are made in the tasks, at most 270,000 numbers each."""
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    top = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES)
-    shares = {r["l"]: min(1.0, SPARE * per_language / r["n"]) for r in top.collect()}
-    if not shares:
+    top = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not top:
         return None
+    portion = min(1.0, FULL / len(top))
+    per_language, landmarks = max(1, int(per_language * portion)), max(1, int(LANDMARKS * portion))
+    shares = {r["l"]: min(1.0, SPARE * per_language / r["n"]) for r in top}
     # a share of each language by id hash holds its smallest hashes: only those texts are shuffled
     place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
     share = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.col(lang_col))
@@ -155,7 +159,7 @@ def fit(docs: DataFrame, train: Column, text_col: str, lang_col: str, id_col: st
 
     found = few.select("lang", "r", "text").mapInArrow(grams, "lang string, r int, grams binary").filter("grams IS NOT NULL").collect()
     found.sort(key=lambda x: (x["lang"], x["r"]))
-    return Model([np.frombuffer(x["grams"], np.int32) for x in found], [x["lang"] for x in found]) if found else None
+    return Model([np.frombuffer(x["grams"], np.int32) for x in found], [x["lang"] for x in found], landmarks) if found else None
 
 
 def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

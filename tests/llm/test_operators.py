@@ -275,6 +275,36 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert stays.columns == docs.columns and stays.count() == kneser_ney.quality(docs).filter("kept").count()
 
 
+def documents_in_languages(sizes, seed=4):
+    """Invented prose: sizes has each language's documents; a language has letters and words of its own."""
+    rng = random.Random(seed)
+    rows = []
+    for lang, n in sizes.items():
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", rng.choice([4, 9, 15]))
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(80)]
+        rows += [(len(rows) + i, " ".join(rng.choice(vocabulary) for _ in range(90)), lang) for i in range(n)]
+    return rows
+
+
+def test_every_language_has_its_own_band(spark, monkeypatch):
+    catalog.ready(spark)
+    sizes = {"en": 60, "yy": 30, "zz": 5, "few": 1, None: 4} | {f"l{i}": 3 for i in range(40)}
+    docs = spark.createDataFrame(documents_in_languages(sizes), "doc_id long, text string, lang string")
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert sorted(kneser_ney.languages(docs)) == sorted(x for x in sizes if x)
+    rows = {r["doc_id"]: r for r in kneser_ney.quality(docs).collect()}
+    assert set(rows) == set(lang)
+    middle = {}
+    for i, r in rows.items():
+        middle.setdefault(lang[i], set()).add(round((r["band_low"] + r["band_high"]) / 2, 6))
+    assert all(len(x) == 1 for x in middle.values()) and len(set.union(*middle.values())) > 30
+    assert {i for i, r in rows.items() if not r["base_failed"] and not r["kept"] and lang[i] in ("zz", "few")} == set()
+    monkeypatch.setattr(kneser_ney, "MAX_LANGUAGES", 20)  # passes do not show in the result
+    again = {r["doc_id"]: r for r in kneser_ney.quality(docs).collect()}
+    assert set(again) == set(rows) and all(tuple(r) == pytest.approx(tuple(rows[i])) for i, r in again.items())
+    assert sorted(r["doc_id"] for r in kneser_ney.keep_good(docs).collect()) == sorted(i for i, r in rows.items() if r["kept"])
+
+
 # -- 2, 7 -------------------------------------------------------------------
 
 def test_quality_classifier_held_out(spark):
@@ -315,6 +345,15 @@ def test_language_held_out(spark):
     assert len(rows) == 1000 and sum(a == b for a, b in held) / len(held) > 0.98
 
 
+def test_every_language_is_predicted(spark):
+    catalog.ready(spark)
+    rows = documents_in_languages({f"l{i}": 12 - i % 3 for i in range(40)})
+    got = string_kernel.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect()
+    lang = {i: x for i, _, x in rows}
+    assert {r["lang_pred"] for r in got} == set(lang.values())
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in got) > 0.95 * len(rows)
+
+
 def test_classifiers_on_odd_rows(spark, small, empty):
     labels = spark.createDataFrame([(3 * i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
     for source in (labels, labels.limit(0)):
