@@ -5,7 +5,9 @@ documents), and the histograms are added. All questions about lengths are then
 answered from the histogram: suffix sums give, for every length L that occurs,
 the documents and tokens at least that long, the tokens left if every document
 is cut at L, and the quantile at which L stands. The sums run in two steps, by
-groups of lengths and then inside a group, so no task takes all lengths.
+groups of lengths and then inside a group, so no task takes all lengths. Any
+other limit (``limit_answers``) and any quantile (``quantile_answers``) is answered
+from the histogram as well.
 
 Defined results: null and empty texts have length 0 and count as documents.
 Empty table: empty result. Repeated rows count each time.
@@ -65,3 +67,21 @@ def length_answers(histogram: DataFrame) -> DataFrame:
     return rows.select("length", "n_docs", docs_from.alias("docs_from"), tokens_from.alias("tokens_from"),
                        (F.col("all_t") - tokens_from + F.col("length") * docs_from).alias("truncated_tokens"),
                        ((F.col("all_n") - docs_from + F.col("n_docs")) / F.col("all_n")).alias("quantile"))
+
+
+def limit_answers(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """Per limit, whether a document has that length or not: docs_from and tokens_from (at least as long), truncated_tokens
+    (all documents cut there), quantile (share of documents at most as long)."""
+    n, length, limit = F.col("n_docs"), F.col("length"), F.col("limit")
+    asked = F.explode(F.array(*[F.lit(x).cast("long") for x in sorted(set(limits))]).cast("array<long>")).alias("limit")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return histogram.select("length", "n_docs", asked).groupBy("limit").agg(
+        total(F.when(length >= limit, n)).alias("docs_from"), total(F.when(length >= limit, length * n)).alias("tokens_from"),
+        F.sum(F.least(length, limit) * n).alias("truncated_tokens"), (total(F.when(length <= limit, n)) / F.sum(n)).alias("quantile"))
+
+
+def quantile_answers(histogram: DataFrame, quantiles: list[float]) -> DataFrame:
+    """Per asked quantile: length, the least that at least this share of the documents do not exceed."""
+    asked = F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(quantiles))]).cast("array<double>")).alias("asked")
+    return (length_answers(histogram).select("length", "quantile", asked).filter("quantile >= asked")
+            .groupBy(F.col("asked").alias("quantile")).agg(F.min("length").alias("length")))

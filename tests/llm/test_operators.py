@@ -173,6 +173,22 @@ def test_token_length_answers(small, tokenizer):
         assert r["quantile"] == pytest.approx(sum(x <= length for x in n) / len(n))
 
 
+def test_limits_and_quantiles_between_lengths(spark):
+    catalog.ready(spark)
+    n = [0, 3, 3, 7, 100, 5000, 5000, 9001]
+    histogram = spark.createDataFrame(list(Counter(n).items()), "length long, n_docs long")
+    limits = [0, 1, 3, 50, 2048, 4096, 5000, 9001, 20000]
+    got = {r["limit"]: r for r in token_lengths.limit_answers(histogram, limits).collect()}
+    assert set(got) == set(limits)
+    for limit, r in got.items():
+        longer = [x for x in n if x >= limit]
+        assert (r["docs_from"], r["tokens_from"], r["truncated_tokens"]) == (len(longer), sum(longer), sum(min(x, limit) for x in n))
+        assert r["quantile"] == pytest.approx(sum(x <= limit for x in n) / len(n))
+    got = {r["quantile"]: r["length"] for r in token_lengths.quantile_answers(histogram, [0.1, 0.3, 0.5, 0.9, 1.0]).collect()}
+    assert got == {q: min(x for x in n if sum(y <= x for y in n) >= q * len(n)) for q in (0.1, 0.3, 0.5, 0.9, 1.0)}
+    assert token_lengths.limit_answers(histogram.limit(0), limits).count() == 0
+
+
 # -- 3 ----------------------------------------------------------------------
 
 def brute_fingerprint(text, k):
