@@ -98,6 +98,25 @@ def op10_substring_bwt(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_spelling_groups(spark, sf_dir):
+    from churnlens.llm.spelling_groups import spelling_groups, vocabulary
+    return spelling_groups(vocabulary(documents(spark, sf_dir))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_source_mix(spark, sf_dir):
+    from churnlens.llm.source_mix import mix
+    out = mix(documents(spark, sf_dir), keep=["doc_id"]).rows
+    return out.select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_seekable_fim(spark, sf_dir):
+    from churnlens.llm.seekable_fim import fill_in_middle, seekable
+    from churnlens.llm.spelling_groups import written
+    docs = documents(spark, sf_dir)
+    out = fill_in_middle(written(seekable(docs), "fim-store"), outputs=False)
+    return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     ready(spark)
@@ -107,7 +126,8 @@ def pipeline(spark, sf_dir):
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_patience_lines, op2_line_crf, op3_simhash, op4_kneser_ney, op5_token_lengths, op6_substring_sketch,
-        op7_string_kernel, op8_bpe_index, op9_template_windows, op10_substring_bwt, pipeline)}
+        op7_string_kernel, op8_bpe_index, op9_template_windows, op10_substring_bwt,
+        op11_spelling_groups, op12_source_mix, op13_seekable_fim, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
