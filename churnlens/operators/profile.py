@@ -90,15 +90,28 @@ def sql_type_name(dt: T.DataType) -> str:
     return dt.simpleString()
 
 
+def distinct_counts(df: DataFrame, columns=None) -> DataFrame:
+    """(position, distinct_count): distinct non-NULL values of every column, position from 1.
+
+    One unpivoted aggregate: each row gives a (position, value) pair per column, which are grouped where they are
+    before they move, so a column of few values costs a task as many rows, and no hot value reaches one task; the
+    groups of a position are then counted, again in part first. Values are compared as text, by which no two
+    different values of a column are equal."""
+    cols = list(columns or df.columns)
+    pairs = [F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(cols, start=1)]
+    values = df.select(F.inline(F.array(*pairs))).filter("v IS NOT NULL").groupBy("position", "v").agg(F.lit(1).alias("one"))
+    return values.groupBy("position").agg(F.count(F.lit(1)).alias("distinct_count"))
+
+
 def column_profile(df: DataFrame, table_name: str = "bank_churn") -> DataFrame:
-    """Data dictionary: one row per column with its type, position and NULL / non-NULL counts.
+    """Data dictionary: one row per column with its type, position, NULL / non-NULL and distinct counts.
 
-    Names and types come from the schema (driver side, no data); the counts
-    are one aggregate over the table, unpivoted with ``inline``.
+    Names and types come from the schema (driver side, no data); the NULL counts
+    are one aggregate over the table, unpivoted with ``inline``, the distinct counts another.
     """
     fields = df.schema.fields
     agg = df.agg(F.count(F.lit(1)).alias("__rows"),
-                 *[F.count(F.col(f.name)).alias(f"__nn{i}") for i, f in enumerate(fields)])
+                 *[F.count(F.col(f"`{f.name}`")).alias(f"__nn{i}") for i, f in enumerate(fields)])
     rows = [F.struct(F.lit(f.name).alias("column_name"),
                      F.lit(sql_type_name(f.dataType)).alias("data_type"),
                      F.lit(table_name).alias("table_name"),
@@ -106,7 +119,10 @@ def column_profile(df: DataFrame, table_name: str = "bank_churn") -> DataFrame:
                      F.col(f"__nn{i}").alias("non_null_count"),
                      (F.col("__rows") - F.col(f"__nn{i}")).alias("null_count"))
             for i, f in enumerate(fields)]
-    return agg.select(F.inline(F.array(*rows)))
+    listed = agg.select(F.inline(F.array(*rows)))
+    found = distinct_counts(df).withColumnRenamed("position", "__position")
+    return (listed.join(found, listed.ordinal_position == F.col("__position"), "left")
+            .select(*listed.columns, F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count")))
 
 
 def _scale(df: DataFrame, column: str) -> int:
@@ -191,6 +207,6 @@ def value_spikes(df: DataFrame, column: str) -> DataFrame:
 
 
 __all__ = [
-    "STAT_COLUMNS", "SIGMA_COLUMNS", "preview", "null_rows", "null_counts", "duplicate_values",
-    "column_profile", "column_stats", "sigma_outliers", "value_spikes", "sql_type_name",
+    "STAT_COLUMNS", "SIGMA_COLUMNS", "preview", "null_rows", "key_quality", "null_counts", "duplicate_values",
+    "distinct_counts", "column_profile", "column_stats", "sigma_outliers", "value_spikes", "sql_type_name",
 ]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions import fixed
 from churnlens.operators import churn, clean, profile, rfm
-from churnlens.operators.quantile import NtileSpec, asc, with_ntiles
+from churnlens.operators.quantile import NtileSpec, asc, desc, with_ntiles, with_ntiles_by
 from churnlens.sources.bank_churn import bank_churn
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,33 @@ def _delete(pred, part: int) -> Query:
     return q
 
 
+BUCKET = 95
+
+
+def _bucket_values(spark, sf_dir, part: int):
+    """Delete the rows whose value occurs in one bucket that is not the last: IN over a set, no cutoff."""
+    df, column = _bc(spark, sf_dir), "total_amt_change_q4_q1"
+    spec = NtileSpec("percentile", [asc(column), asc("clietnum")], fixed.PERCENTILE_BUCKETS)
+    values = with_ntiles(df, [spec]).filter(F.col("percentile") == BUCKET).select(column)
+    return clean.delete_where_in(df, column, values)[part]
+
+
+def delete_in_bucket(spark, sf_dir):
+    return _bucket_values(spark, sf_dir, 0)
+
+
+def removed_in_bucket(spark, sf_dir):
+    return _bucket_values(spark, sf_dir, 1)
+
+
+def trim_top_half_amt_change(spark, sf_dir):
+    return clean.trim_top_percentile(_bc(spark, sf_dir), "total_amt_change_q4_q1", 2)[0]
+
+
+def removed_top_half_amt_change(spark, sf_dir):
+    return clean.trim_top_percentile(_bc(spark, sf_dir), "total_amt_change_q4_q1", 2)[1]
+
+
 def clean_table(spark, sf_dir):
     return clean.clean(_bc(spark, sf_dir)).table
 
@@ -145,6 +172,57 @@ def rfm_scores_by_gender(spark, sf_dir):
                          F.col(rfm.MONETARY).alias("monetary"), "r", "f", "m")
 
 
+def percentile_education_income(spark, sf_dir):
+    """Percentiles ordered by text."""
+    spec = NtileSpec("percentile", [desc("education_level"), asc("income_category"), asc("clietnum")], fixed.PERCENTILE_BUCKETS)
+    return with_ntiles(_bc(spark, sf_dir), [spec]).select("clietnum", "percentile")
+
+
+def quartile_by_tenure(spark, sf_dir):
+    """Quartiles of spend within every value of months_on_book (NULL is a group)."""
+    spec = NtileSpec("quartile", [desc("total_trans_amt"), asc("clietnum")], 4)
+    return with_ntiles_by(_bc(spark, sf_dir), "months_on_book", [spec]).select("clietnum", "months_on_book", "quartile")
+
+
+def _repeated_ids(spark, sf_dir) -> DataFrame:
+    """The table with repeated ids: a tenth of the customers share their neighbour's id, and each 50th id has a row
+    that repeats but for its balance."""
+    df = _bc(spark, sf_dir)
+    key = F.col("clietnum")
+    shared = df.withColumn("clietnum", F.when(key % 10 == 1, key - 1).otherwise(key))
+    again = shared.filter(key % 50 == 0).withColumn("total_revolving_bal", F.col("total_revolving_bal") + 1)
+    return shared.unionByName(again)
+
+
+def _scored_repeated(spark, sf_dir) -> DataFrame:
+    return rfm.rfm_scores(_repeated_ids(spark, sf_dir), then=("total_trans_ct", "total_trans_amt", "months_inactive", "total_revolving_bal"))
+
+
+def segment_churn_repeated_ids(spark, sf_dir):
+    return rfm.segment_churn_joined(_scored_repeated(spark, sf_dir))
+
+
+def rfm_averages_repeated_ids(spark, sf_dir):
+    return rfm.rfm_averages_joined(_scored_repeated(spark, sf_dir))
+
+
+def rfm_attributes_repeated_ids(spark, sf_dir):
+    return rfm.rfm_attributes_joined(_scored_repeated(spark, sf_dir))
+
+
+def segment_reports_cleaned(spark, sf_dir, table: DataFrame | None = None):
+    """The four segment reports from one pass, in long form: report, place (segment or cell), measure, value."""
+    reports = rfm.segment_reports(rfm.rfm_scores(_cleaned_table(spark, sf_dir, table)))
+    out = None
+    for name, report in reports.items():
+        keys = ["r", "fm"] if name == "matrix" else ["rfm_segment"]
+        place = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("none")) for k in keys])
+        measures = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in report.columns if c not in keys])
+        long = report.select(F.lit(name).alias("report"), place.alias("place"), F.inline(measures))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 def rfm_attributes(spark, sf_dir):
     return rfm.rfm_attributes(_scored(spark, sf_dir))
 
@@ -256,5 +334,15 @@ def queries() -> dict[str, Query]:
         "rfm_averages_cleaned": rfm_averages_cleaned,
         "segment_demographics_cleaned": segment_demographics_cleaned,
         "rfm_matrix_cleaned": rfm_matrix_cleaned,
+        "delete_in_bucket": delete_in_bucket,
+        "removed_in_bucket": removed_in_bucket,
+        "trim_top_half_amt_change": trim_top_half_amt_change,
+        "removed_top_half_amt_change": removed_top_half_amt_change,
+        "percentile_education_income": percentile_education_income,
+        "quartile_by_tenure": quartile_by_tenure,
+        "segment_churn_repeated_ids": segment_churn_repeated_ids,
+        "rfm_averages_repeated_ids": rfm_averages_repeated_ids,
+        "rfm_attributes_repeated_ids": rfm_attributes_repeated_ids,
+        "segment_reports_cleaned": segment_reports_cleaned,
     })
     return q
