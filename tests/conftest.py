@@ -11,8 +11,8 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from churnlens.session import local_session
-    s = local_session(cores="*", shuffle_partitions=8)
+    s = local_session(cores="*", shuffle_partitions=8, shared=str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
