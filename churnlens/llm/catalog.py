@@ -31,7 +31,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fold(remainder: int, parts: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == remainder
+    """Whether an id is in the fold; a NULL id is in none."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == remainder, F.lit(False))
 
 
 def op1_patience_lines(spark, sf_dir):
@@ -111,7 +112,7 @@ def op12_source_mix(spark, sf_dir):
 
 def op13_seekable_fim(spark, sf_dir):
     from churnlens.llm.seekable_fim import fill_in_middle, seekable
-    from churnlens.llm.spelling_groups import written
+    from churnlens.llm.chunks import written
     docs = documents(spark, sf_dir)
     out = fill_in_middle(written(seekable(docs), "fim-store"), outputs=False)
     return out.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")

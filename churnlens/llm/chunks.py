@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.session import scratch_path
+
 #: Bytes of text per chunk.
 CHUNK_BYTES = 4 << 20
 #: Keys that one reducer sorts at a time.
@@ -27,6 +29,23 @@ BLOB_SCHEMA = "part int, chunk long, width int, keys binary, extra binary"
 MASK_SCHEMA = "part int, chunk long, mask binary"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table of the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns 0, 1, ... (which no helper column is called), and the new name of each column."""
+    return docs.toDF(*map(str, range(len(docs.columns)))), {c: str(i) for i, c in enumerate(docs.columns)}
+
+
+def named_again(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, from rows that carry them as ``plain_names`` called them."""
+    return rows.select(*[F.col(f"`{i}`").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def measured(docs: DataFrame, text: str) -> tuple[int, int]:
     """(rows, text bytes): one aggregate over the whole table."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text))).alias("b")).first()
@@ -70,10 +89,17 @@ def unpack(width: int, blob: bytes) -> np.ndarray:
     return np.cumsum(out, out=out)
 
 
-def cuts(keys: np.ndarray, bits: int, n_ranges: int) -> np.ndarray:
-    """Slice borders of sorted ``bits``-bit keys by range (n_ranges + 1 of them)."""
-    edges = [(r << bits) // n_ranges for r in range(1, n_ranges)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
+def held(keys: np.ndarray, bits: int, n_ranges: int) -> list[tuple[int, int, int]]:
+    """(range, first, end) of sorted ``bits``-bit keys, for the ranges that hold any: the work follows the keys, not
+    the ranges. A key's range is key * n_ranges >> bits, for n_ranges below 2**32."""
+    if not len(keys):
+        return []
+    wide = keys << np.uint64(64 - bits)
+    n, half = np.uint64(n_ranges), np.uint64(32)
+    low = wide & np.uint64(0xFFFFFFFF)
+    of = ((wide >> half) * n + ((low * n) >> half)) >> half
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    return list(zip(of[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
 
 
 def blob_rows(rows: list[tuple], schema: str = BLOB_SCHEMA) -> pa.Table:
@@ -113,10 +139,9 @@ def masks_of(table: pa.Table) -> dict[int, np.ndarray]:
     return {p: np.frombuffer(m, np.uint8) for p, m in zip(table["part"].to_pylist(), table["mask"].to_pylist())}
 
 
-def read_mask(masks: dict[int, np.ndarray], first_part: int, borders: np.ndarray) -> np.ndarray:
-    """The bits of all ranges in the order of the chunk's sorted keys."""
-    out = np.zeros(int(borders[-1]), bool)
-    for r, (lo, hi) in enumerate(zip(borders[:-1], borders[1:])):
-        if hi > lo:
-            out[lo:hi] = np.unpackbits(masks[first_part + r], count=int(hi - lo)).view(bool)
+def read_mask(masks: dict[int, np.ndarray], first_part: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """The bits of all ranges in the order of the chunk's sorted keys; spans as ``held`` gives them."""
+    out = np.zeros(spans[-1][2] if spans else 0, bool)
+    for r, lo, hi in spans:
+        out[lo:hi] = np.unpackbits(masks[first_part + r], count=hi - lo).view(bool)
     return out

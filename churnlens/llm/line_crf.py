@@ -8,11 +8,13 @@ weighted by length, goes through a calibration fitted on the training
 documents and is the document's quality.
 
 The field is fitted on the driver on a bounded sample: at most ``max_docs``
-labelled documents (those of the smallest id hash), of which the tasks send
-the line figures. All documents are scored in one pass without a shuffle.
+labelled documents (those of the smallest id hash) with ``max_lines`` lines together,
+of which the tasks send the line figures. All documents are scored in one pass without a shuffle.
 
 Defined results: a text without lines (null, empty, only newlines) counts as
-one empty line. Without labelled rows every score is 0.5. One row per row.
+one empty line. Without labelled rows every score is 0.5. One row per row. Of
+rows that repeat an id one is learned from. No column but id and text is read,
+whatever the others are called.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from churnlens.llm import textops as T
 
+#: The training sample: documents, and lines of all of them.
 MAX_DOCS = 4000
+MAX_LINES = 1_000_000
 ROUNDS = 120
 RATE = 0.1
 DECAY = 1e-3
@@ -194,11 +198,26 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(self.line * np.log(raw / (1 - raw)) + self.offset, -30, 30))), p
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col: str, label_col: str, max_docs: int) -> Field | None:
-    """The field of at most ``max_docs`` labelled documents for which ``train`` (over the id) holds."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col: str, label_col: str, max_docs: int,
+        max_lines: int = MAX_LINES) -> Field | None:
+    """The field of at most ``max_docs`` labelled documents for which ``train`` (over the id) holds, with at most
+    ``max_lines`` lines together, none of more than a sixteenth of them."""
     known = labels.filter(train).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_docs)
-    rows = docs.join(F.broadcast(known), docs[id_col] == known["k"]).select("k", "y", docs[text_col].alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("d"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
+    lines = F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(1)), F.lit(1))
+    # one document an id, the one with the smallest text hash; at most max_docs rows of numbers come here
+    sizes = (texts.join(F.broadcast(known), texts.d == known.k).groupBy("k", "y").agg(F.min(F.struct("h", lines.alias("lines"))).alias("t"))
+             .select("k", "y", "t.h", "t.lines", F.xxhash64("k").alias("order")).collect())
+    chosen, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["order"], r["k"])):
+        if r["lines"] <= max_lines // 16 and total + r["lines"] <= max_lines:
+            chosen.append((r["k"], r["y"], r["h"]))
+            total += r["lines"]
+    if not chosen:
+        return None
+    few = docs.sparkSession.createDataFrame(chosen, "k long, y int, g long")
+    rows = texts.join(F.broadcast(few), (texts.d == few.k) & (texts.h == few.g)).groupBy("k", "y").agg(F.first("text").alias("text"))
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

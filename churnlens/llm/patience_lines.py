@@ -1,24 +1,24 @@
 """Line dedup by pairwise alignment of documents.
 
-1. Every document becomes the list of its line hashes. Its runs are the
-   shortest stretches of consecutive lines (blank ones aside) of at least
-   ``MIN_WORDS`` words, from every line onward and from every line backward: they
-   cover every block of that many words, and a block that two documents have
-   is covered by runs that both have. The first document that has a run is
-   its holder.
-2. A document is paired with the holders of its runs: one partner per run,
-   however many documents share it or its lines, so copies by the thousand make
-   at most as many pairs as rows.
-3. Pairs are aligned with patience diff on the line hashes: lines that occur
-   once in both documents, in the longest increasing order, are anchors; the
+1. Every document becomes the list of its line hashes. Lines of
+   ``EVIDENCE_WORDS`` words or more that at most ``RARE`` documents have are
+   rare; a document is paired with the first holder of each of its rare lines.
+   No rare line is on more rows than that, so this join has no hot key.
+2. Pairs are aligned with patience diff on the line hashes: lines that occur
+   once in both, in the longest increasing order, are anchors; the
    stretches between anchors are aligned the same way, and matches grow into
-   the blocks that both have. A block counts if it has at least ``MIN_WORDS``
-   words. The runs of the later document that the alignment leaves although
-   its partner has them (blocks in another order, further copies of a block,
-   stretches without a line that is unique in both) are matched one by one.
-4. The lines of matched blocks are deleted from the later document. Together, a
-   line goes if it stands in a block of ``MIN_WORDS`` words that some
-   earlier document has.
+   the blocks that both have. Of both documents only the stretch around the
+   shared rare lines moves (``AROUND`` lines more on each side), not the list of
+   a long holder for each of its partners. A block of at least ``MIN_WORDS``
+   words is deleted from the later document.
+3. The exact rest. What alignment leaves by its nature is found without pairs:
+   blocks of lines that are frequent, blocks in another order than the partner's,
+   further copies of a block, blocks that another earlier document has. Runs are
+   the shortest stretches of consecutive lines (blank ones aside) of at least
+   ``MIN_WORDS`` words, from every line onward and backward; they cover every
+   such block. One aggregate gives the first holder of every run, and
+   the lines of a run that an earlier document has go, too. Together, a line goes
+   if it stands in a block of ``MIN_WORDS`` words that some earlier document has.
 
 Documents are judged on the input, so the order of pairs does not matter.
 "Later" is by doc_id, then by a hash of the text.
@@ -40,11 +40,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm import chunks as C
 from churnlens.llm import textops as T
 
-#: Lines in at most so many documents are rare. It limits nothing: pairs come from runs, whatever their number of documents.
+#: Lines of so many words in at most so many documents are rare: they name the pairs to align.
+EVIDENCE_WORDS = 4
 RARE = 100
 MIN_WORDS = 8
+#: Lines around the shared rare ones that are aligned with them.
+AROUND = 64
+#: Rows of one key that one join key holds.
+SPLIT = 4096
+#: Pairs that are Python lists at a time.
+_PAIRS = 64
 _RUN_BASE = 0xA0761D6478BD642F
 
 
@@ -87,23 +95,51 @@ def run_spans(words: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.n
     return np.concatenate([at[fits], backward[back]]), np.concatenate([onward[fits], at[back] + 1])
 
 
-def run_keys(keys: pa.Array, words: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document number and hash of the distinct runs of every document, from its line hashes and words."""
+def spread_keys(keys: pa.Array, words: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per document its distinct keys: document number, key, first line (-1: a run of several lines), and whether it is
+    a run. Keys are the runs, and the lines of ``EVIDENCE_WORDS`` words that are no run by themselves."""
     sizes = np.diff(keys.offsets.to_numpy().astype(np.int64))
     doc = np.repeat(np.arange(len(sizes)), sizes)
+    line = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     key, count = keys.flatten().to_numpy().view(np.uint64), words.flatten().to_numpy().astype(np.int64)
+    of, made, places, several = _hashed_runs(doc, key, count, line, len(sizes), min_words)
+    short = (count >= EVIDENCE_WORDS) & (count < min_words) & (key != 0)
+    of = np.concatenate([of, doc[short]])
+    made = np.concatenate([made, T.mix(key[short] ^ np.uint64(_RUN_BASE)).view(np.int64)])
+    places = np.concatenate([np.where(several, -1, places), line[short]])
+    runs = np.concatenate([np.ones(len(several), bool), np.zeros(int(short.sum()), bool)])
+    order = np.lexsort((places, made, of))
+    of, made, places, runs = of[order], made[order], places[order], runs[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (made[1:] != made[:-1])]) if len(of) else np.zeros(0, bool)
+    return of[new], made[new], places[new], runs[new]
+
+
+def _hashed_runs(doc, key, count, line, n_docs: int, min_words: int):
+    """Every run: document number, hash, its first line, whether it has several lines."""
     solid = key != 0
-    doc, key, count = doc[solid], key[solid], count[solid]
-    s, e = run_spans(count, np.cumsum(np.bincount(doc, minlength=len(sizes))), min_words)
+    doc, key, count, line = doc[solid], key[solid], count[solid], line[solid]
+    s, e = run_spans(count, np.cumsum(np.bincount(doc, minlength=n_docs)), min_words)
     if not len(s):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     total = np.zeros(len(key) + 1, np.uint64)
     np.cumsum(T.mix(key.copy()) * T.powers(_RUN_BASE, len(key)), out=total[1:])
     made = T.mix((total[e] - total[s]) * T.inverse_powers(_RUN_BASE, len(key) + 1)[s] + (e - s).astype(np.uint64)).view(np.int64)
-    order = np.lexsort((made, doc[s]))
-    of, made = doc[s][order], made[order]
-    new = np.concatenate([[True], (of[1:] != of[:-1]) | (made[1:] != made[:-1])])
-    return of[new], made[new]
+    return doc[s], made, line[s], e - s > 1
+
+
+def lines_of_runs(keys: list[int], words: list[int], wanted: np.ndarray, gone: set[int], min_words: int) -> set[int]:
+    """The lines of a document's runs whose hash is wanted, of runs that are not gone as a whole."""
+    key, count = np.array(keys, np.int64).view(np.uint64), np.array(words, np.int64)
+    line = np.flatnonzero(key != 0)
+    _, made, _, _ = _hashed_runs(np.zeros(len(key), np.int64), key, count, np.arange(len(key)), 1, min_words)
+    s, e = run_spans(count[line], np.array([len(line)]), min_words)
+    out: set[int] = set()
+    hit = np.isin(made, wanted)
+    for a, b in sorted(set(zip(s[hit].tolist(), e[hit].tolist()))):
+        run = line[a:b].tolist()
+        if not gone.issuperset(run):
+            out.update(run)
+    return out
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,9 +192,7 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_lines(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """The lines of b in blocks that a has (consecutive in both, blank lines aside) of at least min_words words.
-
-    Blocks are aligned; what the alignment leaves is looked up run by run."""
+    """The lines of b in aligned blocks (consecutive in both, blank lines aside) of at least min_words words."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -170,26 +204,6 @@ def common_lines(a: list[int], b: list[int], words: list[int], min_words: int) -
             block = []
         block.append(j)
         last = (i, j)
-    return sorted({*out, *_left_over(a, b, words, min_words, set(out))})
-
-
-def _left_over(a: list[int], b: list[int], words: list[int], min_words: int, gone: set[int]) -> set[int]:
-    """The lines of b in runs that a has and that are not gone as a whole."""
-    places = [j for j, x in enumerate(b) if x]
-    if len(gone) == len(places):
-        return set()
-    starts, ends = run_spans(np.array([words[j] for j in places], np.int64), np.array([len(places)]), min_words)
-    solid = [x for x in a if x]
-    have: dict[int, set] = {}
-    out: set[int] = set()
-    for s, e in zip(starts.tolist(), ends.tolist()):
-        run = places[s:e]
-        if gone.issuperset(run):
-            continue
-        if e - s not in have:
-            have[e - s] = {tuple(solid[i: i + e - s]) for i in range(len(solid) - (e - s) + 1)}
-        if tuple(b[j] for j in run) in have[e - s]:
-            out.update(run)
     return out
 
 
@@ -207,33 +221,69 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """late, id, rid, gone: the line numbers to delete, for documents that lose any."""
+    """late, id, rid, gone (the line numbers to delete), n_aligned (how many of them the alignments found), for documents that lose any."""
     rows = _rows(docs, id_col, text_col).checkpoint()
     me = F.struct("late", "id", "rid")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, made = run_keys(batch.column("keys"), batch.column("words"), min_words)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(of)) for c in ("late", "id", "rid")] + [pa.array(made)], names=["late", "id", "rid", "run"])
-
-    runs = rows.mapInArrow(spread, "late boolean, id long, rid long, run long").select(me.alias("doc"), "run")
-    holders = runs.groupBy("run").agg(F.min("doc").alias("holder"), F.count(F.lit(1)).alias("df")).filter("df >= 2").drop("df")
-    pairs = runs.join(holders, "run").filter(F.col("holder") < F.col("doc")).select("doc", "holder").distinct()
+            of, made, line, runs = spread_keys(batch.column("keys"), batch.column("words"), min_words)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(of)) for c in ("late", "id", "rid")] + [pa.array(made), pa.array(line.astype(np.int32)), pa.array(runs)],
+                                             names=["late", "id", "rid", "key", "line", "run"])
+
+    keyed = rows.mapInArrow(spread, "late boolean, id long, rid long, key long, line int, run boolean").select(me.alias("doc"), "key", "line", "run")
+    holders = (keyed.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("df"), F.max("run").alias("any_run"))
+               .filter((F.col("df") >= 2) & (F.col("any_run") | (F.col("df") <= RARE))))
+    holders = C.written(holders, "lines-holders")
+    # a key on very many documents is dealt over several join keys; the table of such keys is a small part of all
+    hot = C.written(holders.filter(F.col("df") > SPLIT).select("key", F.ceil(F.col("df") / SPLIT).cast("int").alias("deals")), "lines-hot")
+    held = holders.select("key", "first", "df", F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / SPLIT).cast("int") - 1)).alias("deal"))
+    dealt = keyed.join(hot, "key", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("deals")).cast("int"), F.lit(0))).drop("deals")
+    met = dealt.join(held, ["key", "deal"]).filter(F.col("first.doc") < F.col("doc"))
+
+    # pairs by shared rare lines: the stretches of both that hold them are aligned
+    pairs = (met.filter((F.col("line") >= 0) & (F.col("df") <= RARE)).groupBy("doc", F.col("first.doc").alias("holder"))
+             .agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min("first.line").alias("their_low"), F.max("first.line").alias("their_high")))
+    stretch = lambda c, low, high: F.slice(F.col(c), F.greatest(F.col(low) - AROUND, F.lit(0)) + 1, F.col(high) - F.greatest(F.col(low) - AROUND, F.lit(0)) + 1 + AROUND)
     named = rows.select(me.alias("doc"), "keys", "words")
-    both = (pairs.join(named, "doc").join(named.select(F.col("doc").alias("holder"), F.col("keys").alias("theirs")), "holder")
-            .select("doc", "keys", "words", "theirs"))
+    ours = pairs.join(named, "doc").select("doc", "holder", "their_low", "their_high", F.greatest(F.col("low") - AROUND, F.lit(0)).alias("at"),
+                                           stretch("keys", "low", "high").alias("keys"), stretch("words", "low", "high").alias("words"))
+    theirs = named.select(F.col("doc").alias("holder"), F.col("keys").alias("their_keys"))
+    both = ours.join(theirs, "holder").select("doc.*", "at", "keys", "words", stretch("their_keys", "their_low", "their_high").alias("theirs"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [common_lines(t, k, w, min_words) for t, k, w in zip(batch.column("theirs").to_pylist(), batch.column("keys").to_pylist(), batch.column("words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("late", "id", "rid")] + [pa.array(gone, pa.list_(pa.int32()))], names=["late", "id", "rid", "gone"])
+            for lo in range(0, batch.num_rows, _PAIRS):
+                part = batch.slice(lo, _PAIRS)
+                gone = [[at + j for j in common_lines(t, k, w, min_words)] for at, t, k, w in zip(*(part.column(c).to_pylist() for c in ("at", "theirs", "keys", "words")))]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("late", "id", "rid")] + [pa.array(gone, pa.list_(pa.int32()))], names=["late", "id", "rid", "gone"])
+
+    found = both.mapInArrow(align, "late boolean, id long, rid long, gone array<int>").filter(F.size("gone") > 0)
+    found = found.groupBy(me.alias("doc")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("aligned"))
+    # the exact rest: runs that an earlier document has, of which the alignments left lines
+    runs = met.filter("run").groupBy("doc").agg(F.collect_set("key").alias("runs"))
+    given = rows.select(me.alias("doc"), "keys", "words").join(runs.join(found, "doc", "full"), "doc").select("doc.*", "keys", "words", "runs", "aligned")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone, n = [], []
+            for keys, words, runs, mine in zip(*(batch.column(c) for c in ("keys", "words", "runs", "aligned"))):
+                have = set(mine.as_py() or ())
+                left = lines_of_runs(keys.as_py(), words.as_py(), np.array(runs.as_py(), np.int64), have, min_words) if runs.is_valid else set()
+                gone.append(sorted(have | left))
+                n.append(len(have))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("late", "id", "rid")] + [pa.array(gone, pa.list_(pa.int32())), pa.array(n, pa.int32())],
+                                             names=["late", "id", "rid", "gone", "n_aligned"])
 
-    found = both.select("doc.*", "keys", "words", "theirs").mapInArrow(align, "late boolean, id long, rid long, gone array<int>").filter(F.size("gone") > 0)
-    return found.groupBy("late", "id", "rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return given.mapInArrow(rest, "late boolean, id long, rid long, gone array<int>, n_aligned int").filter(F.size("gone") > 0)
 
 
 def without_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with their columns, the deleted lines gone from the text; with _l_lines and _l_removed."""
+    """The documents with their columns, the deleted lines gone from the text; then two columns, lines and deleted
+    lines, called _l_lines and _l_removed."""
+    given = docs
+    docs, name = C.plain_names(docs)
+    id_col, text_col = name[id_col], name[text_col]
     gone = deletions(docs, id_col, text_col, min_words).select(
         F.col("late").alias("_l_late"), F.col("id").alias("_l_id"), F.col("rid").alias("_l_rid"), F.col("gone").alias("_l_gone"))
     text = F.col(f"`{text_col}`")
@@ -241,5 +291,6 @@ def without_common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     joined = docs.join(gone, on, "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_l_gone"), i)), "\n")
-    return joined.select(*[F.when(F.col("_l_gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+    return joined.select(*[(F.when(F.col("_l_gone").isNull(), text).otherwise(kept) if c == text_col else F.col(f"`{c}`")).alias(n)
+                           for c, n in zip(docs.columns, given.columns)],
                          F.coalesce(F.size(lines), F.lit(0)).alias("_l_lines"), F.when(F.col("_l_gone").isNull(), 0).otherwise(F.size("_l_gone")).alias("_l_removed"))

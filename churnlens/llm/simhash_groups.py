@@ -2,7 +2,8 @@
 
 Fingerprints of word shingles are compared once per distinct value. The 64
 bits are split into blocks so that fingerprints within ``distance`` bits agree
-in at least two of them; rows are grouped by every pair of blocks, and the
+in at least two of them (more, and longer, for very many fingerprints: see
+``equal_blocks``); rows are grouped by all choices of so many blocks, and the
 Hamming distance is verified inside a group. A group emits one link per
 fingerprint to the smallest one it reaches there, not all pairs. Groups larger
 than ``TILE`` are split into tiles; each pair of tiles is its own small group,
@@ -24,11 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm import chunks as C
 from churnlens.llm import textops as T
 from churnlens.llm.components import components
 
 #: Fingerprints per tile of a hot group.
 TILE = 512
+#: Random fingerprints that a key may hold.
+CROWD = 64
 #: Rows of block keys per reducer.
 GROUP_ROWS = 200_000
 SEED = 42
@@ -76,11 +80,21 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .mapInArrow(run, "doc_id long, rid long, fp long"))
 
 
-def _blocks(distance: int) -> list[tuple[int, int]]:
-    """(shift, bits) of distance + 2 blocks: two of them are equal in any linked pair."""
-    n = distance + 2
+def _masks(distance: int, equal: int) -> list[int]:
+    """The 64 bits in distance + ``equal`` blocks: the masks of every ``equal`` of them, one of which any linked pair agrees on."""
+    n = distance + equal
     sizes = [64 // n + (i < 64 % n) for i in range(n)]
-    return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
+    blocks = [((1 << s) - 1) << sum(sizes[:i]) for i, s in enumerate(sizes)]
+    return [sum(x) for x in combinations(blocks, equal)]
+
+
+def equal_blocks(n: int, distance: int) -> int:
+    """How many blocks make a key, for n fingerprints: the fewest (two at least) with which n random ones leave at most
+    ``CROWD`` to a key. More blocks are longer keys and more tables: 15 of 21 bits, 35 of 27, 70 of 32 at distance 4."""
+    equal = 2
+    while equal < 5 and n > CROWD << (64 * equal // (distance + equal)):
+        equal += 1
+    return equal
 
 
 def _links_of_groups(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +134,12 @@ def _links_of_groups(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[
     return fp[moved], fp[root[moved]]
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, equal: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect all within ``distance`` bits."""
-    spans = _blocks(distance)
-    mask = lambda at, bits: f"(shiftrightunsigned(fp, {at}) & {(1 << bits) - 1})"
-    keys = ", ".join(f"named_struct('t', {i}, 'k', shiftleft({mask(*x)}, 32) | {mask(*y)})"
-                     for i, (x, y) in enumerate(combinations(spans, 2)))
+    total = max(1, fps.count())
+    masks = _masks(distance, equal or equal_blocks(total, distance))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = ", ".join(f"named_struct('t', {i}, 'k', fp & CAST('{signed(m)}' AS BIGINT))" for i, m in enumerate(masks))
     rows = fps.selectExpr("fp", f"inline(array({keys}))")
     sizes = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     near = rows.join(sizes, ["t", "k"])
@@ -139,8 +153,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         a, b = _links_of_groups(table["g"].to_numpy(), table["fp"].to_numpy().view(np.uint64), distance)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    total = max(1, fps.count())
-    n_parts = max(1, total * len(spans) * (len(spans) - 1) // 2 // GROUP_ROWS)
+    n_parts = max(1, total * len(masks) // GROUP_ROWS)
     return near.withColumn("p", F.pmod("g", F.lit(n_parts))).groupBy("p").applyInArrow(verify, "a long, b long").distinct()
 
 
@@ -165,11 +178,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One document of each component, with its columns: the one with the smallest doc_id (nulls last).
 
     Of rows that repeat that doc_id the one with the smallest text hash stays, and of equal ones one."""
+    given = docs
+    docs, name = C.plain_names(docs)
+    id_col, text_col = name[id_col], name[text_col]
     marked, placed = _placed(docs, id_col, text_col, width, distance)
     none = -(1 << 63)
     heads = (marked.join(placed, "fp").groupBy("root")
              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rid")).alias("h"))
              .select(F.coalesce("h.doc_id", F.lit(none)).alias("_s_id"), F.col("h.rid").alias("_s_rid")))
     rows = docs.withColumn("_s_id", F.coalesce(F.col(id_col).cast("long"), F.lit(none))).withColumn("_s_rid", F.xxhash64(text_col))
-    return (rows.join(heads, ["_s_id", "_s_rid"], "left_semi").dropDuplicates(["_s_id", "_s_rid"])
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return C.named_again(rows.join(heads, ["_s_id", "_s_rid"], "left_semi").dropDuplicates(["_s_id", "_s_rid"]), given)

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm.chunks import written
 from churnlens.llm.textops import as_bytes, inverse_powers, mix, powers
-from churnlens.session import scratch_path
 
 #: Parts of the dimensions: 10 signatures that leave out two parts, 2 x 5 that leave out one.
 PARTS = 5
@@ -46,13 +46,6 @@ _BASE = 0xD1342543DE82EF95
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table of the shared folder."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 # -- vocabulary ----------------------------------------------------------------
 
 def vocabulary(docs: DataFrame, min_chars: int = 7, min_count: int = 2) -> DataFrame:

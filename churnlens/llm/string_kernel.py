@@ -136,19 +136,21 @@ class Model:
 
 def fit(docs: DataFrame, train: Column, text_col: str, lang_col: str, id_col: str, per_language: int) -> Model | None:
     """The model of a bounded sample: n-gram sets are made in the tasks, at most 270,000 numbers each."""
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    top = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = (docs.filter(train).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+            .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")))
+    # ids and texts give a row's place, so rows of one id, or of one text, spread out
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    top = rows.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).collect()
     if not top:
         return None
     portion = min(1.0, FULL / len(top))
     per_language, landmarks = max(1, int(per_language * portion)), max(1, int(LANDMARKS * portion))
-    shares = {r["l"]: min(1.0, SPARE * per_language / r["n"]) for r in top}
-    # a share of each language by id hash holds its smallest hashes: only those texts are shuffled
-    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
-    share = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.col(lang_col))
+    # a share of each language's places holds its smallest ones, and its smallest at least: only those texts are shuffled
+    shares = {r["l"]: max(r["first"], int(min(1.0, SPARE * per_language / r["n"]) * (1 << 30))) for r in top}
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
-    few = (rows.filter(F.col(lang_col).isin(list(shares)) & (place <= share * F.lit(1 << 30)))
-           .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("h"))
+    few = (rows.withColumn("h", place).filter(F.col("h") <= share)
+           .groupBy("lang", "h", "id").agg(F.first("text").alias("text"))      # equal rows count once, where they are
            .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

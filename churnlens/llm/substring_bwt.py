@@ -289,13 +289,12 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def send(table: pa.Table) -> pa.Table:
         _, _, _, _, anchor, piece, one, kind = pieces_of(table)
         many = np.bincount(kind, minlength=len(one)) >= 2
-        keys, at, chunk = anchor[one], C.cuts(anchor[one], 64, n_ranges), table["chunk"][0].as_py()
+        keys, chunk = anchor[one], table["chunk"][0].as_py()
         return C.blob_rows([(r, chunk, *C.pack(keys[lo:hi]), piece[one[lo:hi]].tobytes() + many[lo:hi].tobytes())
-                            for r, (lo, hi) in enumerate(zip(at[:-1], at[1:])) if hi > lo])
+                            for r, lo, hi in C.held(keys, 64, n_ranges)])
 
     def verdicts(masks, keys: np.ndarray) -> np.ndarray:
-        at = C.cuts(keys, 64, n_ranges)
-        got = [masks[r] for r, (lo, hi) in enumerate(zip(at[:-1], at[1:])) if hi > lo]
+        got = [masks[r] for r, _, _ in C.held(keys, 64, n_ranges)]
         return np.concatenate(got) if got else np.zeros(0, np.uint8)
 
     def wanted(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -305,18 +304,15 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         said = verdicts(C.masks_of(right), anchor[one])
         chunk, rows = left["chunk"][0].as_py(), []
         cold = one[(said & (WANTED | HOT)) == WANTED]
-        at = C.cuts(anchor[cold], 64, n_buckets)
-        for r, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
-            if hi > lo:
-                k = cold[lo:hi]
-                text = buf[T.ragged(first[k], count[k] + length - 1)]
-                blob = np.uint32(len(k)).tobytes() + count[k].astype(np.uint32).tobytes() + text.tobytes()
-                rows.append((bucket_first + r, chunk, 0, blob, None))
+        for r, lo, hi in C.held(anchor[cold], 64, n_buckets):
+            k = cold[lo:hi]
+            text = buf[T.ragged(first[k], count[k] + length - 1)]
+            blob = np.uint32(len(k)).tobytes() + count[k].astype(np.uint32).tobytes() + text.tobytes()
+            rows.append((bucket_first + r, chunk, 0, blob, None))
         hot = one[(said & (WANTED | HOT)) == WANTED | HOT]
         if len(hot):
             keys = np.unique(_string_hashes(buf, first[hot], count[hot], length))
-            at = C.cuts(keys, 64, n_ranges)
-            rows += [(hot_first + r, chunk, *C.pack(keys[lo:hi]), None) for r, (lo, hi) in enumerate(zip(at[:-1], at[1:])) if hi > lo]
+            rows += [(hot_first + r, chunk, *C.pack(keys[lo:hi]), None) for r, lo, hi in C.held(keys, 64, n_ranges)]
         return C.blob_rows(rows)
 
     def judge(table: pa.Table) -> pa.Table:
@@ -333,7 +329,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         starts, ends = [first[all_of]], [first[all_of] + count[all_of] + length - 1]
         cold = one[(said & (WANTED | HOT)) == WANTED]
         places = np.concatenate([[0], np.cumsum(count[cold])])
-        bits = C.read_mask(masks, bucket_first, places[C.cuts(anchor[cold], 64, n_buckets)])
+        bits = C.read_mask(masks, bucket_first, [(r, int(places[lo]), int(places[hi])) for r, lo, hi in C.held(anchor[cold], 64, n_buckets)])
         starts.append(T.ragged(first[cold], count[cold])[bits])
         ends.append(starts[-1] + length)
         hot = one[(said & (WANTED | HOT)) == WANTED | HOT]
@@ -342,7 +338,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
             keys = np.sort(hashes)
             here = C.repeated_values(keys)
             keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-            there = keys[C.read_mask(masks, hot_first, C.cuts(keys, 64, n_ranges))]
+            there = keys[C.read_mask(masks, hot_first, C.held(keys, 64, n_ranges))]
             again = C.member(here, hashes) | C.member(there, hashes)
             starts.append(T.ragged(first[hot], count[hot])[again])
             ends.append(starts[-1] + length)

@@ -73,7 +73,7 @@ def _candidates(table: pa.Table, masks, k, depth, bits, n_ranges):
         distinct = np.sort(cells)
         here = C.repeated_values(distinct)
         distinct = distinct[np.concatenate([[True], distinct[1:] != distinct[:-1]])] if len(distinct) else distinct
-        elsewhere = distinct[C.read_mask(masks, row * n_ranges, C.cuts(distinct, bits, n_ranges))]
+        elsewhere = distinct[C.read_mask(masks, row * n_ranges, C.held(distinct, bits, n_ranges))]
         hot = np.union1d(here, elsewhere)
         pick = pick[C.member(hot, cells[pick])]
     return one[pick], two[pick], first[pick], doc[pick], counts
@@ -144,9 +144,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         chunk, rows = table["chunk"][0].as_py(), []
         for row in range(depth):
             cells = np.unique(_cells(one, row, bits))
-            at = C.cuts(cells, bits, n_ranges)
-            rows += [(row * n_ranges + r, chunk, *C.pack(cells[lo:hi]), None)
-                     for r, (lo, hi) in enumerate(zip(at[:-1], at[1:])) if hi > lo]
+            rows += [(row * n_ranges + r, chunk, *C.pack(cells[lo:hi]), None) for r, lo, hi in C.held(cells, bits, n_ranges)]
         return C.blob_rows(rows)
 
     def ordered(table):
@@ -159,13 +157,12 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         table, ids = ordered(left)
         one, two, _, doc, _ = _candidates(table, C.masks_of(right), window, depth, bits, n_ranges)
         key, low, owner, _ = _entries(one, two, doc, ids)
-        at, rows, chunk = C.cuts(key, 64, n_ranges), [], table["chunk"][0].as_py()
-        for r, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
-            if hi > lo:
-                known, rank = np.unique(owner[lo:hi], return_inverse=True)
-                width = 2 if len(known) < 1 << 16 else 4
-                extra = low[lo:hi].tobytes() + bytes([width]) + np.uint32(len(known)).tobytes() + known.tobytes() + rank.astype(f"u{width}").tobytes()
-                rows.append((r, chunk, *C.pack(key[lo:hi]), extra))
+        rows, chunk = [], table["chunk"][0].as_py()
+        for r, lo, hi in C.held(key, 64, n_ranges):
+            known, rank = np.unique(owner[lo:hi], return_inverse=True)
+            width = 2 if len(known) < 1 << 16 else 4
+            extra = low[lo:hi].tobytes() + bytes([width]) + np.uint32(len(known)).tobytes() + known.tobytes() + rank.astype(f"u{width}").tobytes()
+            rows.append((r, chunk, *C.pack(key[lo:hi]), extra))
         return C.blob_rows(rows)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -176,7 +173,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
         masks = C.masks_of(right)
         one, two, first, doc, counts = _candidates(table, masks, window, depth, bits, n_ranges)
         key, _, owner, entry = _entries(one, two, doc, ids)
-        earlier = C.read_mask(masks, depth * n_ranges, C.cuts(key, 64, n_ranges))
+        earlier = C.read_mask(masks, depth * n_ranges, C.held(key, 64, n_ranges))
         gone = earlier[entry] | (owner[entry] < ids[doc])
         drop = T.covered(first[gone], window, int(counts.sum()))
         texts, removed = _kept_texts(table, drop, counts)

@@ -16,12 +16,13 @@ its values, it does not mix them). Every aligned occurrence of an item in a text
 is a binding of its own, to which the other windows that fit it are added; the
 best binding counts. A document is contaminated if enough windows of one item
 match, or enough of those that have ``min_literals`` plain tokens; the latter are
-the number reported, if there are any.
+the number reported, if there are any. Windows that more than ``COMMON`` items
+share (a preamble, an instruction) count for no item that has others.
 
-The benchmark is the query set: it goes to the tasks in blocks of at most
-``BLOCK_TOKENS`` tokens, each block a broadcast of checked size; a larger
-benchmark takes more passes over the batch, not a larger broadcast. Documents
-are not shuffled.
+The benchmark is the query set: all of it passes the driver and is broadcast, in
+blocks of at most ``BLOCK_TOKENS`` tokens, so what is sent grows with the benchmark
+(not with the documents), and each batch of documents is held against every
+block. Documents are not shuffled.
 
 Defined results: null or empty documents match nothing; an item without
 ``min_literals`` plain tokens in any window matches only as it stands; an item shorter
@@ -38,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm import chunks as C
 from churnlens.llm import textops as T
 
 WINDOW = 8
 MIN_LITERALS = 4
 #: Matched windows of an item (or all that it has) that make a document contaminated.
 MIN_WINDOWS = 5
+#: A window that more items have than that (items of equal text are one) tells none of them from the others.
+COMMON = 10
 BLOCK_TOKENS = 1 << 20
 
 #: Units of measure, currencies and times that follow a number.
@@ -126,9 +130,9 @@ def _member(value: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The template windows of some benchmark items, in sorted hash order."""
+    """The template windows of some benchmark texts (with the ids of the items that are that text), in sorted hash order."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int, min_literals: int):
+    def __init__(self, items: list[tuple[list[int], bytes]], window: int, min_literals: int):
         buf = np.frombuffer(b"".join(t for _, t in items), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
         self.value, self.slots, counts = templates(buf, offsets)
@@ -168,6 +172,29 @@ class Block:
         self.ids = [i for i, _ in items]
         self.widths = sorted(set(self.size.tolist()))
 
+    def windows(self) -> np.ndarray:
+        """Every window once per text that has it."""
+        mixed = T.mix(self.hash ^ T.mix((self.size * 4 + self.way).astype(np.uint64)))
+        order = np.lexsort((mixed, self.item))
+        mixed, item = mixed[order], self.item[order]
+        return mixed[np.concatenate([[True], (mixed[1:] != mixed[:-1]) | (item[1:] != item[:-1])])] if len(mixed) else mixed
+
+    def keep_distinctive(self, common: np.ndarray) -> None:
+        """Leaves out windows that very many texts have, but for a text that has no other: so a place of a document
+        meets a bounded number of texts, and what all of them begin with is evidence for none."""
+        mixed = T.mix(self.hash ^ T.mix((self.size * 4 + self.way).astype(np.uint64)))
+        shared = C.member(common, mixed)
+        only = np.ones(len(self.ids), bool)
+        only[self.item[~shared]] = False
+        keep = ~shared | only[self.item]
+        self.hash, self.item, self.at, self.size, self.way, self.plain = (x[keep] for x in (self.hash, self.item, self.at, self.size, self.way, self.plain))
+        for of, rows in ((self.all, np.ones(len(self.at), bool)), (self.total, self.way == INSIDE)):
+            places = np.unique(self.at[rows])                      # a place belongs to one text
+            owner = np.zeros(len(self.value), np.int64)
+            owner[self.at[rows]] = self.item[rows]
+            of[:] = np.bincount(owner[places], minlength=len(self.ids))
+        self.widths = sorted(set(self.size.tolist()))
+
     def matches(self, value, slots, counts) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, matched windows of the item with consistent slots, those of them with enough plain tokens)."""
         text_of = np.repeat(np.arange(len(counts)), counts)
@@ -266,16 +293,23 @@ class _Binding:
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, min_literals: int) -> list[Block]:
-    """The benchmark in blocks of bounded size; only the query set passes the driver, one block at a time."""
+    """The benchmark in blocks of bounded size; all of it passes the driver and is held there."""
     out, items, size = [], [], 0
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
-    for r in rows.distinct().orderBy("i", "t").toLocalIterator():
-        items.append((r["i"], bytes(r["t"])))
-        size += len(r["t"]) // 2 + 1
+    for r in rows.distinct().orderBy("t", "i").toLocalIterator():
+        if items and items[-1][1] == r["t"]:
+            items[-1][0].append(r["i"])
+            continue
         if size >= BLOCK_TOKENS:
             out.append(Block(items, window, min_literals))
             items, size = [], 0
-    return [*out, Block(items, window, min_literals)] if items else out
+        items.append(([r["i"]], bytes(r["t"])))
+        size += len(r["t"]) // 2 + 1
+    out += [Block(items, window, min_literals)] if items else []
+    seen, n = np.unique(np.concatenate([b.windows() for b in out]) if out else np.zeros(0, np.uint64), return_counts=True)
+    for b in out:
+        b.keep_distinctive(seen[n > COMMON])
+    return out
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id",
@@ -296,7 +330,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
                     for text, item, n, n_plain in b.value.matches(*made):
                         most[lo + text] = max(most[lo + text], n_plain or n)
                         if n >= min(min_windows, b.value.all[item]) or n_plain and n_plain >= min(min_windows, b.value.total[item]):
-                            items[lo + text].add(b.value.ids[item])
+                            items[lo + text].update(b.value.ids[item])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(keep))] + [pa.array([sorted(x) for x in items], pa.list_(pa.int64())), pa.array(most), pa.array([bool(x) for x in items], pa.bool_())],
                 names=[*keep, "_b_items", "_b_windows", "_b_contaminated"])
@@ -312,5 +346,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with the columns that they had."""
-    columns = docs.columns
-    return marked(docs, benchmark, columns, text_col).filter(~F.col("_b_contaminated")).select(*[F.col(f"`{c}`") for c in columns])
+    plain, name = C.plain_names(docs)
+    return C.named_again(marked(plain, benchmark, plain.columns, name[text_col]).filter(~F.col("_b_contaminated")), docs)

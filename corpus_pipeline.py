@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import sys
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from churnlens.llm import bpe_index, kneser_ney, patience_lines, simhash_groups, template_windows  # noqa: E402
 from churnlens.llm.catalog import ready  # noqa: E402
-from churnlens.session import shared_dir  # noqa: E402
+from churnlens.llm.chunks import named_again, plain_names  # noqa: E402
+from churnlens.session import scratch_path  # noqa: E402
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +31,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines that an earlier document has are deleted; n_chars follows the text. A document
     of which no word is left goes."""
     ready(spark)
-    out = patience_lines.without_common_blocks(docs)
-    text = F.col("text")
-    out = out.withColumn("n_chars", F.when(F.col("_l_removed") > 0, F.length(text)).otherwise(F.col("n_chars")))
+    plain, name = plain_names(docs)
+    text, chars = F.col(f"`{name['text']}`"), name["n_chars"]
+    out = patience_lines.without_common_blocks(plain, name["doc_id"], name["text"])
+    out = out.withColumn(chars, F.when(F.col("_l_removed") > 0, F.length(text)).otherwise(F.col(f"`{chars}`")))
     emptied = (F.col("_l_removed") > 0) & ~text.rlike(r"[^\x20\x09-\x0D]")
-    return out.filter(~F.coalesce(emptied, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named_again(out.filter(~F.coalesce(emptied, F.lit(False))), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    folder = os.path.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex[:12]}")
+    folder = scratch_path(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

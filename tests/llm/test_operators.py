@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from churnlens.llm import (bpe_index, catalog, kneser_ney, line_crf, patience_lines, simhash_groups, string_kernel,
+from churnlens.llm import (bpe_index, catalog, chunks, kneser_ney, line_crf, patience_lines, simhash_groups, string_kernel,
                            substring_bwt, substring_sketch, template_windows, token_lengths)
 from churnlens.llm import sql as llm_sql
 
@@ -105,6 +106,16 @@ def expected_bytes(rows, length):
     return sorted(out, key=str)
 
 
+def test_held_ranges_follow_the_keys():
+    rng = np.random.default_rng(1)
+    for bits, n in ((64, 1), (64, 7), (64, 2 ** 31 + 5), (20, 3), (20, 4096), (33, 1_000_003)):
+        keys = np.unique(rng.integers(0, 2 ** bits - 1, 500, dtype=np.uint64, endpoint=True))
+        spans = chunks.held(keys, bits, n)
+        assert [x for _, lo, hi in spans for x in keys[lo:hi].tolist()] == keys.tolist()
+        assert all(int(k) * n >> bits == r for r, lo, hi in spans for k in keys[lo:hi])
+    assert chunks.held(keys[:0], 64, 9) == [] and len(chunks.held(keys, 64, 2 ** 31)) <= len(keys)
+
+
 @pytest.mark.parametrize("hot", [1, 4096])
 def test_substring_bwt(small, monkeypatch, hot):
     monkeypatch.setattr(substring_bwt, "HOT_RUNS", hot)
@@ -230,7 +241,17 @@ def test_simhash(small, monkeypatch, tile):
     assert sorted(kept, key=late) == sorted(least.values(), key=late)
 
 
-def test_links_of_random_fingerprints(spark):
+def test_keys_grow_with_the_fingerprints():
+    assert [simhash_groups.equal_blocks(n, 4) for n in (1, 10 ** 8, 10 ** 9, 10 ** 10, 10 ** 12)] == [2, 2, 3, 4, 5]
+    for equal in (2, 3, 4, 5):
+        masks = simhash_groups._masks(4, equal)
+        assert len(set(masks)) == len(masks) and min(m.bit_count() for m in masks) >= 64 * equal // (4 + equal) - equal
+    # groups of random fingerprints stay small: N / 2 ** bits
+    assert all(n / 2 ** (64 * simhash_groups.equal_blocks(n, 4) // (4 + simhash_groups.equal_blocks(n, 4))) <= 64 for n in (10 ** 7, 10 ** 9, 10 ** 10))
+
+
+@pytest.mark.parametrize("equal", [None, 3, 4])
+def test_links_of_random_fingerprints(spark, equal):
     catalog.ready(spark)
     rng = random.Random(3)
     prints = set()
@@ -242,7 +263,7 @@ def test_links_of_random_fingerprints(spark):
                 x ^= 1 << rng.randrange(64)
     prints = sorted(prints)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    edges = simhash_groups.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4)
+    edges = simhash_groups.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, equal)
     root = {r["node"]: r["root"] for r in simhash_groups.components(edges).collect()}
     group = brute_components(prints, 4)
     for i, x in enumerate(signed):
@@ -280,6 +301,112 @@ def test_kneser_ney_is_a_distribution_and_counts_are_whole(spark, small):
     assert len(models[0].grams[kneser_ney.ORDER]) == len(total)
 
 
+def test_counts_of_many_tasks_are_added_in_rounds(spark):
+    """300 tasks: a reducer adds FAN of them at a time, and the sums are those of all documents."""
+    catalog.ready(spark)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["abc", "the", "of", "x9", "ZZ", "é"]) for _ in range(rng.randrange(30))), rng.choice(["en", "fr", None])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(300)
+    out = kneser_ney._counts(docs, ["en", "fr"], "text", "lang")
+    want: dict = {}
+    for _, text, lang in rows:
+        buf = np.frombuffer(text.encode(), np.uint8)
+        for c in kneser_ney.ngram_codes(buf, np.array([0, len(buf)])).tolist():
+            key = ({"en": 1, "fr": 2}.get(lang, 0), c)
+            want[key] = want.get(key, 0) + 1
+    got = {}
+    for r in out.collect():
+        for k, n in zip(chunks.unpack(r["width"], r["keys"]).tolist(), np.frombuffer(r["extra"], np.int64).tolist()):
+            assert (r["part"] // kneser_ney._PARTS, k) not in got
+            got[r["part"] // kneser_ney._PARTS, k] = n
+    assert got == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 3             # 300 -> 19 -> 2 -> 1
+
+
+def brute_kneser_ney(grams):
+    """Modified Kneser-Ney by its formulas, on tuples of symbols: a function (context, symbol) -> probability."""
+    order, size = kneser_ney.ORDER, kneser_ney.ALPHABET
+    tables = {order: dict(grams)}
+    for k in range(order - 1, 0, -1):
+        tables[k] = {}
+        for g in tables[k + 1]:
+            tables[k][g[1:]] = tables[k].get(g[1:], 0) + 1
+    discounts = {}
+    for k, t in tables.items():
+        n = [max(1, sum(1 for c in t.values() if c == i)) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        discounts[k] = [0.0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i - 0.1) for i in (1, 2, 3)]
+
+    def probability(context, symbol):
+        k = len(context) + 1
+        lower = 1 / size if k == 1 else probability(context[1:], symbol)
+        following = {g[-1]: c for g, c in tables[k].items() if g[:-1] == context}
+        if not following:
+            return lower
+        total, d = sum(following.values()), discounts[k]
+        left = sum(d[min(c, 3)] for c in following.values()) / total
+        c = following.get(symbol, 0)
+        return max(c - d[min(c, 3)], 0) / total + left * lower
+
+    return probability
+
+
+def test_kneser_ney_probabilities_against_the_formulas():
+    rng = random.Random(9)
+    size, order = kneser_ney.ALPHABET, kneser_ney.ORDER
+    text = [rng.choice([0, 1, 1, 2, 3, 5, 30]) for _ in range(900)]
+    grams: dict = {}
+    for i in range(order - 1, len(text)):
+        g = tuple(text[i - order + 1: i + 1])
+        grams[g] = grams.get(g, 0) + 1
+    code = lambda g: sum(s * size ** i for i, s in enumerate(reversed(g)))
+    keys = sorted(grams, key=code)
+    model = kneser_ney.Model(np.array([code(g) for g in keys]), np.array([grams[g] for g in keys]))
+    want = brute_kneser_ney(grams)
+    asked = keys[:60] + [tuple(rng.choice([0, 1, 2, 3, 4, 5, 30, 47]) for _ in range(order)) for _ in range(200)]
+    got = model.probability(np.array([code(g) for g in asked]))
+    assert np.allclose(got, [want(g[:-1], g[-1]) for g in asked], rtol=1e-9)
+    mixed = kneser_ney.Model(np.array([code(g) for g in keys[:50]]), np.array([grams[g] for g in keys[:50]]), model)
+    small = brute_kneser_ney({g: grams[g] for g in keys[:50]})
+    share = kneser_ney.SHARED / (kneser_ney.SHARED + sum(grams[g] for g in keys[:50]))
+    got = mixed.probability(np.array([code(g) for g in asked]))
+    assert np.allclose(got, [(1 - share) * small(g[:-1], g[-1]) + share * want(g[:-1], g[-1]) for g in asked], rtol=1e-9)
+
+
+def test_bands_and_verdicts_by_their_rule(spark):
+    """Perplexities, medians, deviations, band and kept, from the model and the formulas."""
+    catalog.ready(spark)
+    rng = random.Random(12)
+    words_of = {"en": ["the", "of", "and", "house", "river", "stone", "light"], "xx": ["zu", "ka", "molo", "tiri", "sato"]}
+    rows = [(i, " ".join(rng.choice(words_of[lang]) + rng.choice(["", "", ".", ","]) for _ in range(rng.randint(30, 200))), lang)
+            for i, lang in enumerate(rng.choice(["en", "xx"]) for _ in range(120))]
+    rows += [(500 + i, "".join(rng.choice("QZX#9~") + rng.choice(["", " "]) for _ in range(600)), "en") for i in range(4)] + [(900, "", "en"), (901, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = kneser_ney.fit(docs, kneser_ney.languages(docs))
+    names = {x: i + 1 for i, x in enumerate(kneser_ney.languages(docs))}
+    logs = {}
+    for i, text, lang in rows:
+        buf = np.frombuffer((text or "").encode(), np.uint8)
+        if len(buf):
+            logs[i] = -float(np.log(models[names[lang]].probability(kneser_ney.ngram_codes(buf, np.array([0, len(buf)])))).mean())
+    out = {r["doc_id"]: r for r in kneser_ney.quality(docs).collect()}
+    for lang in names:
+        mine = [i for i, _, x in rows if x == lang and i in logs and not out[i]["base_failed"]]
+        steps = sorted(int(logs[i] * kneser_ney.STEPS) for i in mine)
+        middle = steps[(len(steps) + 1) // 2 - 1]
+        off = sorted(abs(s - middle) for s in steps)[(len(steps) + 1) // 2 - 1]
+        for i, text, x in rows:
+            if x != lang or i not in logs:
+                continue
+            room = kneser_ney.WIDTH * 1.4826 * (off + 0.5) / kneser_ney.STEPS + kneser_ney.SHORT / len((text or "").encode()) ** 0.5
+            low, high = (middle + 0.5) / kneser_ney.STEPS - room, (middle + 0.5) / kneser_ney.STEPS + room
+            r = out[i]
+            assert abs(r["log_perplexity"] - logs[i]) < 1e-9 and abs(r["band_low"] - low) < 1e-9 and abs(r["band_high"] - high) < 1e-9
+            assert r["kept"] == (not r["base_failed"] and low <= r["log_perplexity"] <= high)
+    assert not any(out[500 + i]["kept"] for i in range(4)) and not out[900]["kept"] and not out[901]["kept"]
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     catalog.ready(spark)
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
@@ -411,6 +538,26 @@ def test_decontamination_finds_passages_as_they_stand(spark):
         assert got[r["doc_id"]] == any(tuple(w[i:i + 12]) in bench for i in range(len(w) - 11))
 
 
+def test_a_common_preamble_is_evidence_for_no_item(spark):
+    """2,000 items begin with the same 14 words; a document repeats these 50 times, another has one whole item."""
+    catalog.ready(spark)
+    rng = random.Random(4)
+    preamble = "read the following question with care and choose the one best answer from below"
+    make = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(14))
+    items = [(i, f"{preamble} {make()}") for i in range(2000)] + [(2000, preamble), (2001, f"{preamble} {make()}")]
+    items.append((2002, items[-1][1]))                      # an item that stands there twice
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "\n".join([make()] + [preamble] * 50)), (2, make() + " " + items[7][1] + " " + make()),
+                                  (3, make() * 3), (4, items[2001][1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in template_windows.contaminated(docs, bench).collect()}
+    assert got == {1: [2000], 2: [7, 2000], 3: [], 4: [2000, 2001, 2002]}
+    blocks = template_windows.benchmark_blocks(bench, "item_id", "text", 8, 4)
+    made = template_windows.templates(np.frombuffer(docs.first()["text"].encode(), np.uint8), np.array([0, len(docs.first()["text"])]))
+    start = time.time()
+    assert [len(list(b.matches(*made))) for b in blocks] == [1]
+    assert time.time() - start < 1
+
+
 def windows_found(spark, item, *texts):
     """(contaminated, windows) of each text, for one benchmark item."""
     catalog.ready(spark)
@@ -459,21 +606,8 @@ def test_line_dedup(small):
     out = patience_lines.without_common_blocks(small)
     assert out.columns[:-2] == small.columns and out.count() == len(rows)
     docs, strip = brute_lines(rows)
-    n_words = [[len(words(x)) for x in s] for s in strip]
-    holders, df = {}, Counter()
-    for k, s in enumerate(strip):
-        for x in set(s) - {""}:
-            holders.setdefault(x, k)
-            df[x] += 1
-    want = {}
-    for k, s in enumerate(strip):
-        partners = {holders[x] for x, n in zip(s, n_words[k]) if x and df[x] > 1 and holders[x] < k and (df[x] <= patience_lines.RARE or n >= patience_lines.MIN_WORDS)}
-        number = {}
-        code = lambda x: number.setdefault(x, len(number) + 1) if x else 0
-        gone = set()
-        for p in partners:
-            gone |= set(patience_lines.common_lines([code(x) for x in strip[p]], [code(x) for x in s], n_words[k], patience_lines.MIN_WORDS))
-        want[docs[k]] = len(gone)
+    gone = blocks_of_earlier_documents(["\n".join(s) for s in strip], patience_lines.MIN_WORDS)
+    want = {doc: len(x) for doc, x in zip(docs, gone)}
     for r in out.collect():
         if r["_l_removed"] == 0:
             continue
@@ -543,6 +677,39 @@ def test_line_dedup_against_all_earlier_documents(spark, seed):
     assert want[-1] == {1, 2, 3, 4, 5}
 
 
+def test_alignments_find_the_blocks_of_pairs(spark, monkeypatch):
+    """Without the alignment its deletions are gone; what only the exact rest finds stays apart."""
+    catalog.ready(spark)
+    rng = random.Random(6)
+    line = lambda tag: f"{tag} " + " ".join(rng.choice("abcdefgh") * 3 for _ in range(5))
+    passages = [[line(f"p{k} {i}") for i in range(6)] for k in range(8)]
+    texts = ["\n".join([line(f"own {k}"), *passages[k % 8], line(f"tail {k}"), *(passages[(k + 1) % 8] if k % 3 == 0 else [])]) for k in range(60)]
+    swapped = texts[0].split("\n")
+    texts.append("\n".join(swapped[7:] + ["x"] + swapped[:7]))          # blocks in another order
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: (set(r["gone"]), r["n_aligned"]) for r in patience_lines.deletions(docs).collect()}
+    want = blocks_of_earlier_documents(texts, patience_lines.MIN_WORDS)
+    assert {k: found.get(k, (set(), 0))[0] for k in range(len(texts))} == dict(enumerate(want))
+    aligned, gone = sum(n for _, n in found.values()), sum(map(len, want))
+    assert 0.9 * gone < aligned <= gone
+    assert found[60][1] < len(found[60][0])                             # the rest finds the block out of order
+    monkeypatch.setattr(patience_lines, "common_lines", lambda *_: [])
+    off = patience_lines.deletions(docs).collect()
+    assert sum(r["n_aligned"] for r in off) == 0
+
+
+def test_a_long_holder_sends_only_stretches(spark):
+    """A passage inside a very long first document, and a line on very many documents."""
+    catalog.ready(spark)
+    rng = random.Random(7)
+    long_lines = [" ".join(rng.choice("abcdefghijk") * 4 for _ in range(9)) + f" {i}" for i in range(30_000)]
+    hot = "this very line stands in every single document here"
+    texts = ["\n".join(long_lines)] + [f"own {k}\n" + "\n".join(long_lines[k * 7: k * 7 + 4]) + f"\n{hot}" for k in range(5000)]
+    got = removed_lines(patience_lines.without_common_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)))
+    assert got[0] == (0, texts[0]) and got[1][0] == 4
+    assert all(got[k] == (5, f"own {k - 1}") for k in range(2, 5001))
+
+
 def test_further_copies_of_a_block_go(spark):
     catalog.ready(spark)
     passage = "one two three four five\nsix seven eight nine ten"
