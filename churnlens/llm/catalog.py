@@ -37,7 +37,7 @@ def _fold(remainder: int, parts: int):
 
 def op1_patience_lines(spark, sf_dir):
     from churnlens.llm.patience_lines import without_common_blocks
-    out = without_common_blocks(documents(spark, sf_dir))
+    out = without_common_blocks(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.col("_l_lines").alias("n_lines"), F.col("_l_removed").alias("n_removed"),
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
