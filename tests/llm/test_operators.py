@@ -488,6 +488,39 @@ def test_language_held_out(spark):
     assert len(rows) == 1000 and sum(a == b for a, b in held) / len(held) > 0.98
 
 
+def test_string_kernel_against_plain_sets():
+    """Kernels, Nystroem features, ridge weights and scores by their formulas, on Python sets of n-grams."""
+    rng = random.Random(3)
+    stems = {"aa": "karo tima lupo sena", "bb": "wexy qulv zarck vony", "cc": "einer zweier über dreißig"}
+    make = lambda lang, n: " ".join(rng.choice(stems[lang].split()) + rng.choice("abc") for _ in range(n))
+    train = [(make(lang, rng.randint(2, 9)), lang) for lang in stems for _ in range(12)]
+    fold = string_kernel.FOLD
+
+    def grams(text):
+        s = [int(fold[b]) for b in text.encode()]
+        return {tuple(s[i: i + k]) for k in (1, 2, 3) for i in range(len(s) - k + 1)}
+
+    sets = [grams(t) for t, _ in train]
+    marks = [i for lang in sorted(stems) for i in [j for j, (_, x) in enumerate(train) if x == lang][:4]]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    base = np.array([[kernel(sets[i], sets[j]) for j in marks] for i in marks])
+    values, vectors = np.linalg.eigh(base)
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    features = np.array([[kernel(x, sets[j]) for j in marks] for x in sets]) @ root
+    y = np.array([sorted(stems).index(x) for _, x in train])
+    target = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    weight = np.diag(1.0 / np.bincount(y)[y])
+    beta = np.linalg.solve(features.T @ weight @ features + string_kernel.RIDGE * np.eye(features.shape[1]), features.T @ weight @ target)
+    model = string_kernel.Model([string_kernel.present(np.frombuffer(t.encode(), np.uint8)) for t, _ in train], [x for _, x in train], 4)
+    asked = [make(lang, n) for lang in stems for n in (1, 3, 30)] + ["q", "über karo", "zz" * 400]
+    best, score = model.score([np.frombuffer(t.encode(), np.uint8) for t in asked])
+    for k, t in enumerate(asked):
+        margin = 4 * (np.array([kernel(grams(t), sets[j]) for j in marks]) @ root @ beta)
+        odds = np.exp(margin - margin.max())
+        assert best[k] == margin.argmax() and abs(score[k] - 1 / odds.sum()) < 1e-4
+
+
 def test_every_language_is_predicted(spark):
     catalog.ready(spark)
     rows = documents_in_languages({f"l{i}": 12 - i % 3 for i in range(40)})
