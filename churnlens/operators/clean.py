@@ -191,9 +191,9 @@ def _tail_counts(df: DataFrame, tails: list[_Tail], bins: int) -> list[dict[int,
     return out
 
 
-def _from_top(counts: dict[int, tuple], wanted: int) -> tuple | None:
-    """The bin that holds the ``wanted``-th value from the top; None if it lies below the bins."""
-    for slot in sorted((s for s in counts if s >= 0), reverse=True):
+def _from_top(counts: dict[int, tuple], wanted: int, bins: int) -> tuple | None:
+    """The bin that holds the ``wanted``-th value from the top of the bins; None if it lies below them."""
+    for slot in sorted((s for s in counts if 0 <= s < bins), reverse=True):
         wanted -= counts[slot][0]
         if wanted <= 0:
             return counts[slot]
@@ -222,13 +222,13 @@ def _counted_cutoffs(cl: Cleaning, k: int, bins: int) -> None:
             n = sum(c[0] for c in mine.values())
             wanted = n // k - mine.get(-2, (0,))[0]        # NULLs sort last: they fill the last bucket first
             for i, c in zip(asked[1:], counts[1:]):        # look ahead: the top values, with room for what still goes
-                t, seen = waiting[i], _from_top(c, 4 * (n // k) - c.get(bins, (0,))[0])
+                t, seen = waiting[i], _from_top(c, 4 * (n // k) - c.get(bins, (0,))[0], bins)
                 if seen is not None and t.width(bins) > 1:
                     waiting[i] = _Tail(t.column, t.number, seen[1], whole[i][1])
             if wanted <= 0:
                 break
             above = mine.get(bins, (0,))[0]
-            hit = _from_top(mine, wanted - above)
+            hit = _from_top(mine, wanted - above, bins)
             if above >= wanted:                            # the rank is above the bins, or below them: look there
                 waiting[done] = _Tail(tail.column, tail.number, tail.high + 1, whole[done][1])
             elif hit is None:
