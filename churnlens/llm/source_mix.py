@@ -32,7 +32,7 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = 12
 #: Documents of one source, or sources, that are sorted together at most; a wider range is counted in bins first.
-RANGE_DOCS = 20_000
+RANGE_DOCS = 2_000
 BINS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,7 +54,7 @@ def letter_quality(text: str = "text") -> Column:
 
 def running_totals(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """Adds per name the total of its expression over all rows before this one in ``order`` (a total order), in two steps:
-    inside sorted parts of at most some tens of thousands of rows, then over the parts' totals."""
+    inside sorted parts of some thousands of rows, then over the parts' totals."""
     spark = rows.sparkSession
     parts = max(1, -(-rows.count() // RANGE_DOCS))
     dealt = rows.repartitionByRange(parts, *[F.col(c).asc_nulls_last() for c in order]).withColumn("_part", F.spark_partition_id())
