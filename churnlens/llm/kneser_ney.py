@@ -1,8 +1,8 @@
 """Quality rules with an n-gram perplexity verdict.
 
-Bytes are folded into a small alphabet (letters without case, but capitals
-after a capital as one shouting symbol; digits, space, kinds of punctuation,
-the parts of longer characters). Spark counts the n-grams of every language
+Symbols are the bytes of the text as they stand: each of the 256 is its own
+symbol, so case, digits, marks and every character of any script count. Spark
+counts the n-grams of every language
 over all documents: tasks count their share, and the counts of ``FAN`` tasks are
 added up at a time, per range of n-grams. From
 the counts a modified Kneser-Ney model is made: three discounts per order,
@@ -10,18 +10,26 @@ continuation counts below the highest order. A model is a set of sorted arrays
 of n-gram hashes (the n-gram as a base-``ALPHABET`` number, so no two
 collide) with their probabilities and back-off weights.
 
+Beside the model of the bytes stands one of their shapes (letters without case,
+one digit, kinds of punctuation, the parts of longer characters). A position's
+shape n-gram follows from its byte n-gram, so it is counted from the same
+counts, and one look-up gives the probabilities under both.
+
 Every language has a model and a band of its own, however few documents it
 has. Its model is mixed with the model of all text, which has ``SHARED``
 symbols' weight, so a language of little text leans on it. Null languages use
 the model of all text.
 
-Size bound: at most ALPHABET**ORDER n-grams for each of ``MAX_LANGUAGES``
-languages, whatever the corpus; only that is collected and broadcast at once.
-More languages take more passes, each over its own languages' documents.
+Size: the distinct n-grams of ``MAX_LANGUAGES`` languages and of all text are
+collected and broadcast at once; their number follows the text (ALPHABET**ORDER
+a language would be all). More languages take more passes, each over its own
+languages' documents.
 
-Every document gets its log perplexity. A language's band is its median plus
-and minus ``width`` robust deviations and an allowance that shrinks with the
-length; outside of it a document is rejected. Medians come from an exact
+Every document gets its log perplexity of bytes and of shapes. A language's band
+is its median plus and minus ``width`` robust deviations and an allowance that
+shrinks with the length; outside of either band a document is rejected: the bytes
+tell what is unlike the language's text, the shapes runs of marks whichever marks
+they are. Medians come from an exact
 histogram of perplexities in steps of 1/``STEPS``.
 
 Defined results: null text has no words, so base_failed. Text without symbols
@@ -60,8 +68,13 @@ FAN = 16
 BATCH_BYTES = 1 << 20
 
 
-def _folding() -> np.ndarray:
-    """Byte -> symbol. 0 space, 1-26 letters, 27 digit, 28-33 punctuation, 34 other, 35-38 lead bytes, 39-46 continuation bytes, 47 shouting."""
+ALPHABET = 256
+#: Shapes of symbols.
+SHAPES = 47
+
+
+def _shapes() -> np.ndarray:
+    """Symbol -> shape. 0 space, 1-26 letters, 27 digit, 28-33 punctuation, 34 other, 35-38 lead bytes, 39-46 continuation bytes."""
     fold = np.full(256, 34, np.uint8)
     fold[list(T.SPACES)] = 0
     for i in range(26):
@@ -73,31 +86,30 @@ def _folding() -> np.ndarray:
         fold[b] = 39 + (b & 7)
     for b in range(192, 256):
         fold[b] = 35 + (b >> 4) - 12
-    return fold
+    out = np.empty(256, np.int64)
+    out[folded(np.arange(256, dtype=np.uint8))] = fold
+    return out
 
 
-FOLD = _folding()
-ALPHABET = 48
-_CAPITAL = np.zeros(256, bool)
-_CAPITAL[ord("A"): ord("Z") + 1] = True
+def folded(buf: np.ndarray) -> np.ndarray:
+    """Symbols of the bytes, one for each: the byte with bit 5 flipped, which makes space 0."""
+    return (buf ^ np.uint8(ord(" "))).astype(np.int64)
 
 
-def folded(buf: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
-    """Symbols of the bytes; a capital after a capital of the same document is 47. starts: of the documents (default: one)."""
-    out = FOLD[buf].astype(np.int64)
-    capital = _CAPITAL[buf]
-    shout = capital.copy()
-    shout[1:] &= capital[:-1]
-    shout[:1] = False
-    if starts is not None:
-        shout[starts] = False
-    out[shout] = 47
+SHAPE = _shapes()
+
+
+def shape_codes(codes: np.ndarray) -> np.ndarray:
+    """The n-grams of shapes of n-grams of symbols."""
+    out = np.zeros(len(codes), np.int64)
+    for k in range(ORDER):
+        out += SHAPE[codes // ALPHABET ** k % ALPHABET] * SHAPES ** k
     return out
 
 
 def ngram_codes(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The n-gram that ends at every byte; before a document's start stands space."""
-    sym = folded(buf, offsets[:-1][offsets[:-1] < len(buf)])
+    sym = folded(buf)
     code = sym.copy()
     pos = np.arange(len(buf)) - np.repeat(offsets[:-1], np.diff(offsets))
     for k in range(1, ORDER):
@@ -139,28 +151,27 @@ def base_figures(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 
 class Model:
-    """Modified Kneser-Ney over folded symbols, in sorted arrays per order; mixed with ``pool`` if given."""
+    """Modified Kneser-Ney over symbols, in sorted arrays per order; mixed with ``pool`` if given."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, pool: "Model | None" = None):
-        self.pool, self.share = None, 0.0
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, pool: "Model | None" = None, alphabet: int = ALPHABET):
+        self.pool, self.share, self.alphabet = None, 0.0, alphabet
         grams, n = codes, counts.astype(np.int64)
-        self.base = np.full(ALPHABET, 1.0 / ALPHABET)
         levels = []
         for order in range(ORDER, 0, -1):
             levels.append((order, grams, n))
             if order > 1:  # continuation counts: how many symbols precede each shorter n-gram
-                grams, n = np.unique(grams % ALPHABET ** (order - 1), return_counts=True)
+                grams, n = np.unique(grams % self.alphabet ** (order - 1), return_counts=True)
         self.grams, self.prob, self.context, self.weight = {}, {}, {}, {}
         for order, grams, n in reversed(levels):
             of_count = [max(1, int((n == k).sum())) for k in (1, 2, 3, 4)]
             y = of_count[0] / (of_count[0] + 2 * of_count[1])
             discount = np.array([0.0] + [min(max(k - (k + 1) * y * of_count[k] / of_count[k - 1], 0.1), k - 0.1) for k in (1, 2, 3)])
             off = discount[np.minimum(n, 3)]
-            context, at = np.unique(grams // ALPHABET, return_inverse=True)
+            context, at = np.unique(grams // self.alphabet, return_inverse=True)
             total = np.bincount(at, weights=n, minlength=len(context))
             self.context[order] = context
             self.weight[order] = np.bincount(at, weights=off, minlength=len(context)) / total
-            lower = self._lookup(order - 1, grams % ALPHABET ** (order - 1))
+            lower = self._lookup(order - 1, grams % self.alphabet ** (order - 1))
             self.grams[order] = grams
             self.prob[order] = (n - off) / total[at] + self.weight[order][at] * lower
         if pool is not None:
@@ -169,7 +180,7 @@ class Model:
 
     def _lookup(self, order: int, codes: np.ndarray) -> np.ndarray:
         if order == 0:
-            return np.full(len(codes), 1.0 / ALPHABET)
+            return np.full(len(codes), 1.0 / self.alphabet)
         grams = self.grams[order]
         at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
         out = self.prob[order][at]
@@ -177,9 +188,9 @@ class Model:
         if len(missing):
             few = codes[missing]
             context, weight = self.context[order], self.weight[order]
-            at = np.minimum(np.searchsorted(context, few // ALPHABET), len(context) - 1)
-            scale = np.where(context[at] == few // ALPHABET, weight[at], 1.0)
-            out[missing] = scale * self._lookup(order - 1, few % ALPHABET ** (order - 1))
+            at = np.minimum(np.searchsorted(context, few // self.alphabet), len(context) - 1)
+            scale = np.where(context[at] == few // self.alphabet, weight[at], 1.0)
+            out[missing] = scale * self._lookup(order - 1, few % self.alphabet ** (order - 1))
             if order == ORDER and self.pool is not None:  # the n-grams that it has are mixed already
                 out[missing] = (1 - self.share) * out[missing] + self.share * self.pool.probability(few)
         return out
@@ -188,6 +199,27 @@ class Model:
         return self._lookup(ORDER, codes)
 
 
+class Models:
+    """A language's models, of its bytes and of their shapes, with the log probabilities of its n-grams under both."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, pool: "Models | None" = None):
+        self.bytes = Model(codes, counts, pool and pool.bytes)
+        self.shapes = Model(*_summed([shape_codes(codes)], [counts]), pool and pool.shapes, SHAPES)
+        self.codes, self.logs = codes, self._logs(codes)
+
+    def _logs(self, codes: np.ndarray) -> np.ndarray:
+        return np.log([self.bytes.probability(codes), self.shapes.probability(shape_codes(codes))])
+
+    def logs_of(self, codes: np.ndarray) -> np.ndarray:
+        """Log probabilities of any n-grams: a row for bytes, a row for shapes."""
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        out = self.logs[:, at]
+        missing = np.flatnonzero(self.codes[at] != codes)
+        if len(missing):
+            out[:, missing] = self._logs(codes[missing])
+        return out
+
+
 def languages(docs: DataFrame, lang_col: str = "lang") -> list[str]:
     """All languages, the most frequent ones first."""
     named = docs.select(F.col(lang_col).cast("string").alias("l")).filter("l IS NOT NULL")
@@ -199,11 +231,11 @@ def _groups(column: pa.Array, known: dict[str, int]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, names: list[str], text_col: str = "text", lang_col: str = "lang") -> dict[int, Model]:
-    """Language number (0: all text) -> model, from the n-gram counts of all documents."""
-    return {g: m for _, models in passes(docs, names, text_col, lang_col) for g, m in models.items()}
+    """Language number (0: all text) -> model of bytes, from the n-gram counts of all documents."""
+    return {g: m.bytes for _, models in passes(docs, names, text_col, lang_col) for g, m in models.items()}
 
 
-def passes(docs: DataFrame, names: list[str], text_col: str = "text", lang_col: str = "lang") -> Iterator[tuple[dict[str, int], dict[int, Model]]]:
+def passes(docs: DataFrame, names: list[str], text_col: str = "text", lang_col: str = "lang") -> Iterator[tuple[dict[str, int], dict[int, Models]]]:
     """The languages in portions of MAX_LANGUAGES: their numbers, and their models with that of all text (0)."""
     lows = range(0, max(len(names), 1), MAX_LANGUAGES)
     counted = _counts(docs, names, text_col, lang_col).checkpoint()
@@ -215,17 +247,15 @@ def passes(docs: DataFrame, names: list[str], text_col: str = "text", lang_col:
             codes.setdefault(r["part"] // _PARTS, []).append((C.unpack(r["width"], r["keys"]).astype(np.int64), np.frombuffer(r["extra"], np.int64)))
         return {g: (np.concatenate([k for k, _ in x]), np.concatenate([n for _, n in x])) for g, x in codes.items()}
 
-    pooled = np.zeros(ALPHABET ** ORDER, np.int64)
+    pooled = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for low in lows:
         per = portion(low)
-        for k, n in per.values():
-            pooled[k] += n
-    found = np.flatnonzero(pooled)
-    pool = Model(found, pooled[found]) if len(found) else None
+        pooled = _summed([pooled[0], *(k for k, _ in per.values())], [pooled[1], *(n for _, n in per.values())])
+    pool = Models(*pooled) if len(pooled[0]) else None
     for low in lows:
         if len(lows) > 1:
             per = portion(low)
-        models = {g: Model(*x, pool) for g, x in per.items() if g}
+        models = {g: Models(*x, pool) for g, x in per.items() if g}
         yield {x: low + i + 1 for i, x in enumerate(names[low: low + MAX_LANGUAGES])}, models | ({0: pool} if pool else {})
 
 
@@ -268,7 +298,7 @@ def _counts(docs: DataFrame, names: list[str], text_col: str, lang_col: str) ->
             of = _groups(batch.column("lang"), known)
             for lo, hi in T.blocks(offsets):
                 o = offsets[lo: hi + 1] - offsets[lo]
-                codes = ngram_codes(buf[offsets[lo]: offsets[hi]], o).astype(np.int32)
+                codes = ngram_codes(buf[offsets[lo]: offsets[hi]], o).astype(np.uint32)
                 owner = np.repeat(of[lo:hi], np.diff(o))
                 for g in np.unique(owner).tolist():
                     tally.add(g, codes[owner == g])
@@ -291,10 +321,10 @@ def _counts(docs: DataFrame, names: list[str], text_col: str, lang_col: str) ->
     return found
 
 
-def _log_perplexities(batch_text: pa.Array, of: np.ndarray, models: dict[int, Model]) -> tuple[np.ndarray, np.ndarray]:
-    """(log perplexity, symbols) per text; NaN for a text without symbols."""
+def _log_perplexities(batch_text: pa.Array, of: np.ndarray, models: dict[int, Models]) -> tuple[np.ndarray, np.ndarray]:
+    """(log perplexities of bytes and of shapes, symbols) per text; NaN for a text without symbols."""
     buf, offsets = T.as_bytes(batch_text)
-    out = np.full(len(of), np.nan)
+    out = np.full((2, len(of)), np.nan)
     size = np.diff(offsets)
     for lo, hi in T.blocks(offsets):
         b, o = buf[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
@@ -302,23 +332,23 @@ def _log_perplexities(batch_text: pa.Array, of: np.ndarray, models: dict[int, Mo
             continue
         codes = ngram_codes(b, o)
         owner = np.repeat(of[lo:hi], size[lo:hi])
-        logs = np.empty(len(b))
+        total = np.zeros((2, len(b) + 1))
         for g in np.unique(of[lo:hi][size[lo:hi] > 0]).tolist():
-            mine = owner == g
-            logs[mine] = np.log(models[g].probability(codes[mine]))
-        total = np.concatenate([[0.0], np.cumsum(logs)])
+            mine = np.flatnonzero(owner == g)
+            total[:, mine + 1] = models[g].logs_of(codes[mine])
+        np.cumsum(total, axis=1, out=total)
         with np.errstate(invalid="ignore", divide="ignore"):
-            out[lo:hi] = -(total[o[1:]] - total[o[:-1]]) / size[lo:hi]
+            out[:, lo:hi] = -(total[:, o[1:]] - total[:, o[:-1]]) / size[lo:hi]
     return out, size
 
 
 def scored(docs: DataFrame, models, known: dict[str, int], keep: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The columns ``keep`` as given, with q: the figures, the language's number, log perplexity (null: none) and symbols."""
+    """The columns ``keep`` as given, with q: the figures, the language's number, log perplexities (null: none) and symbols."""
     shipped = docs.sparkSession.sparkContext.broadcast(models)
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     text_in = text_col if text_col in keep else "_q_text"        # a text that is kept is sent once
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"_q_{f} long" for f in fields] + ["_q_group int", "_q_symbols long", "_q_log double"]
+    ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"_q_{f} long" for f in fields] + ["_q_group int", "_q_symbols long", "_q_log double", "_q_shape double"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,27 +360,33 @@ def scored(docs: DataFrame, models, known: dict[str, int], keep: list[str], text
                 rows = [base_figures(x) for x in part.column(text_in).cast(pa.binary()).to_pylist()]
                 figures = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(fields))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(len(keep))] + figures + [pa.array(of, pa.int32()), pa.array(size, pa.int64()), pa.array(logs, from_pandas=True)],
-                    names=[*keep, *(f"_q_{f}" for f in fields), "_q_group", "_q_symbols", "_q_log"])
+                    [part.column(i) for i in range(len(keep))] + figures + [pa.array(of, pa.int32()), pa.array(size, pa.int64()), *(pa.array(x, from_pandas=True) for x in logs)],
+                    names=[*keep, *(f"_q_{f}" for f in fields), "_q_group", "_q_symbols", "_q_log", "_q_shape"])
 
     more = [] if text_in == text_col else [F.col(f"`{text_col}`").alias("_q_text")]
     return docs.select(*[F.col(f"`{c}`") for c in keep], *more, F.col(f"`{lang_col}`").cast("string").alias("_q_lang")).mapInArrow(run, ", ".join(ddl))
 
 
-def bands(rows: DataFrame) -> dict[int, tuple[float, float]]:
-    """Language number -> (median, deviation) of log perplexity, over documents that pass the base rules."""
-    step = F.least(F.floor(F.col("_q_log") * STEPS), F.lit(TOP * STEPS)).cast("int")
-    counted = rows.filter("_q_log IS NOT NULL").filter(~base_failed()).groupBy("_q_group", step.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    per: dict[int, list] = {}
-    for r in counted.collect():  # at most TOP * STEPS + 1 rows a language
-        per.setdefault(r["_q_group"], []).append((r["s"], r["n"]))
-    out = {}
-    for g, x in per.items():
+#: What has a band: the perplexity of bytes, that of shapes.
+VIEWS = ("_q_log", "_q_shape")
+
+
+def bands(rows: DataFrame) -> list[dict[int, tuple[float, float]]]:
+    """For each view, language number -> (median, deviation) of log perplexity, over documents that pass the base rules."""
+    step = lambda c: F.least(F.floor(F.col(c) * STEPS), F.lit(TOP * STEPS)).cast("int")
+    both = F.explode(F.array(*[F.struct(F.lit(i).alias("view"), step(c).alias("s")) for i, c in enumerate(VIEWS)]))
+    counted = (rows.filter("_q_log IS NOT NULL").filter(~base_failed()).select("_q_group", both.alias("at"))
+               .groupBy("_q_group", "at.view", "at.s").agg(F.count(F.lit(1)).alias("n")))
+    per: dict[tuple[int, int], list] = {}
+    for r in counted.collect():  # at most TOP * STEPS + 1 rows a language and view
+        per.setdefault((r["view"], r["_q_group"]), []).append((r["s"], r["n"]))
+    out: list[dict[int, tuple[float, float]]] = [{} for _ in VIEWS]
+    for (view, g), x in per.items():
         s, n = (np.array(v, np.int64) for v in zip(*sorted(x)))
         middle = s[np.searchsorted(np.cumsum(n), (n.sum() + 1) // 2)]
         off = np.abs(s - middle)
         order = np.argsort(off, kind="stable")
-        out[g] = ((middle + 0.5) / STEPS, 1.4826 * (off[order][np.searchsorted(np.cumsum(n[order]), (n.sum() + 1) // 2)] + 0.5) / STEPS)
+        out[view][g] = ((middle + 0.5) / STEPS, 1.4826 * (off[order][np.searchsorted(np.cumsum(n[order]), (n.sum() + 1) // 2)] + 0.5) / STEPS)
     return out
 
 
@@ -358,12 +394,20 @@ def base_failed():
     return (F.col("_q_n_words") < 50) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words"))
 
 
-def verdict(rows: DataFrame, limits: dict[int, tuple[float, float]]) -> DataFrame:
-    """Adds _q_base_failed, _q_low, _q_high (the band for the document's language and length) and _q_kept."""
-    pick = lambda i: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for g, x in sorted(limits.items()) for v in (g, float(x[i]))]), F.col("_q_group")), F.lit(None)) if limits else F.lit(None).cast("double")
-    room = F.lit(WIDTH) * pick(1) + F.lit(SHORT) / F.sqrt(F.greatest(F.col("_q_symbols"), F.lit(1)))
-    rows = rows.withColumn("_q_base_failed", base_failed()).withColumn("_q_low", pick(0) - room).withColumn("_q_high", pick(0) + room)
-    return rows.withColumn("_q_kept", ~F.col("_q_base_failed") & F.coalesce(F.col("_q_log").between(F.col("_q_low"), F.col("_q_high")), F.lit(True)))
+def verdict(rows: DataFrame, limits: list[dict[int, tuple[float, float]]]) -> DataFrame:
+    """Adds _q_base_failed, the bands for the document's language and length (_q_log_low, _q_log_high, and the same of
+    _q_shape) and _q_kept."""
+    def pick(of: dict[int, tuple[float, float]], i: int):
+        if not of:
+            return F.lit(None).cast("double")
+        return F.element_at(F.create_map(*[F.lit(v) for g, x in sorted(of.items()) for v in (g, float(x[i]))]), F.col("_q_group"))
+
+    rows, kept = rows.withColumn("_q_base_failed", base_failed()), ~F.col("_q_base_failed")
+    for c, of in zip(VIEWS, limits):
+        room = F.lit(WIDTH) * pick(of, 1) + F.lit(SHORT) / F.sqrt(F.greatest(F.col("_q_symbols"), F.lit(1)))
+        rows = rows.withColumn(f"{c}_low", pick(of, 0) - room).withColumn(f"{c}_high", pick(of, 0) + room)
+        kept &= F.coalesce(F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")), F.lit(True))
+    return rows.withColumn("_q_kept", kept)
 
 
 def _of_pass(docs: DataFrame, known: dict[str, int], names: list[str], lang_col: str) -> DataFrame:
@@ -376,7 +420,7 @@ def _of_pass(docs: DataFrame, known: dict[str, int], names: list[str], lang_col:
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, the base figures, base_failed, log_perplexity, its band, and kept."""
+    """doc_id, the base figures, base_failed, kept, log_perplexity and its band, and those of shapes."""
     names = languages(docs, lang_col)
     parts = []
     for known, models in passes(docs, names, text_col, lang_col):
@@ -385,7 +429,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     out = reduce(DataFrame.union, parts)
     return out.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"_q_{c}").alias(c) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
-        F.col("_q_log").alias("log_perplexity"), F.col("_q_low").alias("band_low"), F.col("_q_high").alias("band_high"))
+        F.col("_q_log").alias("log_perplexity"), F.col("_q_log_low").alias("band_low"), F.col("_q_log_high").alias("band_high"),
+        F.col("_q_shape").alias("shape_perplexity"), F.col("_q_shape_low").alias("shape_low"), F.col("_q_shape_high").alias("shape_high"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -301,6 +301,37 @@ def test_kneser_ney_is_a_distribution_and_counts_are_whole(spark, small):
     assert len(models[0].grams[kneser_ney.ORDER]) == len(total)
 
 
+def test_kneser_ney_tells_all_bytes_apart(spark):
+    """Digits, case, marks and characters of any script have n-grams of their own (all were folded into 48 symbols)."""
+    assert len(set(kneser_ney.folded(np.arange(256, dtype=np.uint8)).tolist())) == kneser_ney.ALPHABET == 256
+    assert kneser_ney.folded(np.frombuffer(b" ", np.uint8)).tolist() == [0]
+    catalog.ready(spark)
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("абвгдежзик") for _ in range(rng.randint(3, 7))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(120)), "ru") for i in range(60)]
+    other = str.maketrans("абвгдежз", "ийклмноп")  # eight further on: the same lead byte, the same last three bits
+    rows.append((100, rows[0][1].translate(other), "ru"))
+    got = {r["doc_id"]: r for r in kneser_ney.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i in range(60))
+    assert got[100]["log_perplexity"] > got[0]["log_perplexity"] + 0.3 and not got[100]["kept"]
+
+
+def test_shape_ngrams_follow_from_byte_ngrams():
+    """The shapes of a position's byte n-gram are the n-gram of the text's shapes; one look-up gives both models' figures."""
+    texts = ["The 12 HOUSES, déjà vu!\n$$$ &&& 7", "", "ß", "the house 34 of déjà"]
+    data = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in data])])
+    codes = kneser_ney.ngram_codes(np.frombuffer(b"".join(data), np.uint8), offsets)
+    want = []
+    for b in data:
+        shapes = [0] * (kneser_ney.ORDER - 1) + kneser_ney.SHAPE[kneser_ney.folded(np.frombuffer(b, np.uint8))].tolist()
+        want += [sum(shapes[i + j] * kneser_ney.SHAPES ** (kneser_ney.ORDER - 1 - j) for j in range(kneser_ney.ORDER)) for i in range(len(b))]
+    assert kneser_ney.shape_codes(codes).tolist() == want
+    both = kneser_ney.Models(*np.unique(codes[:20], return_counts=True))
+    shapes = kneser_ney.Model(*np.unique(want[:20], return_counts=True), alphabet=kneser_ney.SHAPES)
+    assert np.allclose(both.logs_of(codes), np.log([both.bytes.probability(codes), shapes.probability(np.array(want))]))
+
+
 def test_counts_of_many_tasks_are_added_in_rounds(spark):
     """300 tasks: a reducer adds FAN of them at a time, and the sums are those of all documents."""
     catalog.ready(spark)
