@@ -718,10 +718,13 @@ def blocks_of_earlier_documents(texts, min_words):
     for k, mine in enumerate(solid):
         gone = set()
         for s in range(len(mine)):
+            # the places in earlier texts where the block goes on: one that stands nowhere cannot stand when it is longer
+            at = [(theirs, i) for theirs in solid[:k] for i in range(len(theirs))]
             for e in range(s + 1, len(mine) + 1):
-                part = [x for _, x in mine[s:e]]
-                if sum(len(x.split()) for x in part) >= min_words and any(
-                        [x for _, x in theirs[i:i + e - s]] == part for theirs in solid[:k] for i in range(len(theirs) - (e - s) + 1)):
+                at = [(theirs, i) for theirs, i in at if i + e - s <= len(theirs) and theirs[i + e - s - 1][1] == mine[e - 1][1]]
+                if not at:
+                    break
+                if sum(len(x.split()) for _, x in mine[s:e]) >= min_words:
                     gone |= {j for j, _ in mine[s:e]}
         out.append(gone)
     return out
@@ -766,7 +769,7 @@ def test_a_long_holder_sends_only_stretches(spark):
     """A passage inside a very long first document, and a line on very many documents."""
     catalog.ready(spark)
     rng = random.Random(7)
-    long_lines = [" ".join(rng.choice("abcdefghijk") * 4 for _ in range(9)) + f" {i}" for i in range(30_000)]
+    long_lines = [" ".join(rng.choice("abcdefghijk") * 4 for _ in range(9)) + f" {i}" for i in range(35_000)]
     hot = "this very line stands in every single document here"
     texts = ["\n".join(long_lines)] + [f"own {k}\n" + "\n".join(long_lines[k * 7: k * 7 + 4]) + f"\n{hot}" for k in range(5000)]
     got = removed_lines(patience_lines.without_common_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)))
